@@ -33,8 +33,8 @@ from .words import NOT_SPACE, U, bounds, doc_sets, hashes, mix
 SKETCH, LISTED = 64, 16
 #: Chance with which two sets exactly at the threshold may share too few listed values, or be estimated too low.
 MISS = 1e-6
-#: Members of a list up to which it gives its pairs; longer lists go block by block.
-SHORT_LIST, BLOCK = 24, 512
+#: Members of a list up to which it gives its pairs; longer lists go block by block. Members and shingles of a block.
+SHORT_LIST, BLOCK, BLOCK_VALUES = 24, 512, 1 << 18
 
 
 def _tail(n: int, p: float) -> int:
@@ -250,7 +250,8 @@ def _rest_of_groups(star: DataFrame, percent: int) -> DataFrame:
     step = 0.025
     star = star.withColumn("band", F.when(F.col("linked"), -1 - F.floor((reach - F.col("d")) / step)).otherwise(F.floor((F.col("d") - reach) / step)).cast("int"))
     open_ = star.where("not linked").select("pivot").distinct()  # a group that its pivot holds together needs no more
-    bands = star.join(open_, "pivot", "left_semi").groupBy("pivot", "band").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    bands = star.join(open_, "pivot", "left_semi").groupBy("pivot", "band").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("values"))
+    bands = bands.withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int"))
     bands = stored(bands.select("pivot", "band", "blocks"))
     a = bands.withColumnsRenamed({"band": "band_a", "blocks": "blocks_a"})
     b = bands.withColumnsRenamed({"band": "band_b", "blocks": "blocks_b"})
