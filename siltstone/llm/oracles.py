@@ -19,4 +19,23 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
 """
 
-ORACLES = {"op1_minhash": _OP1}
+_WORDS3 = "regexp_extract_all(" + LOW.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP3 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS3} AS ws FROM documents),
+b AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS3} AS ws FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS x
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+ks AS MATERIALIZED (SELECT DISTINCT k FROM win),
+pos AS MATERIALIZED (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+hits AS MATERIALIZED (
+  SELECT p.doc_id, p.i, win.k, win.item_id FROM pos p JOIN ks ON p.i + ks.k - 1 <= len(p.ws)
+  JOIN win ON win.k = ks.k AND win.x = array_to_string(p.ws[p.i : p.i + ks.k - 1], ' ')),
+n_hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS w FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(i.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit h ON h.doc_id = d.doc_id LEFT JOIN its i ON i.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_minhash": _OP1, "op3_decontaminate": _OP3}
