@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, narrow, stored, text_chunks
 from .components import components
+from .membership import build, maybe
 from .words import NOT_SPACE, U, bounds, doc_sets, hashes, mix
 
 #: Values kept of each set, and of those the ones that inverted lists are made of.
@@ -68,39 +69,16 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp_hi long, fp_lo long, sketch array<long>")
 
 
-def _slots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(ids.view(U))
-    return (x & U(bits - 1)).astype(np.int64), ((x >> U(32)) & U(bits - 1)).astype(np.int64)
-
-
-def _membership(ids: DataFrame) -> np.ndarray:
-    """A filter of bounded size (at most 16 MB) that knows all ``ids``; it may let others through."""
-    n = ids.count()
-    bits = 1 << min(27, max(16, math.ceil(math.log2(max(1, n) * 16))))
-
-    def run(batches):
-        for b in batches:
-            x = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-            at = np.unique(np.concatenate(_slots(x, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(U)).view(np.int64))], ["word", "bit"])
-
-    rows = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits >> 6, U)
-    out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(U)
-    return out
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of the texts in ``ids``: read again, and filtered before any shuffle by a membership filter."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_membership(ids))
+    known = spark.sparkContext.broadcast(build(ids))
 
     def run(batches):
         filt = known.value
         for b in batches:
             x = np.asarray(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
-            s1, s2 = _slots(x, len(filt) << 6)
-            hit = ((filt[s1 >> 6] >> (s1 & 63).astype(U)) & (filt[s2 >> 6] >> (s2 & 63).astype(U)) & U(1)).astype(bool)
+            hit = maybe(filt, x)
             hit &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
             part = b.filter(pa.array(hit))
             for got, buf, offs in text_chunks(iter([part])):

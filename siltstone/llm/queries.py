@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .oracles import ORACLES
@@ -27,6 +28,33 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    labels = table(spark, sf_dir, "labels").where(third != 1)
+    out = toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = [op1_minhash, op3_decontaminate, op10_token_counts]
+_ALL = [op1_minhash, op3_decontaminate, op4_lm, op6_pii, op7_toxicity, op9_suffix_dedup, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
