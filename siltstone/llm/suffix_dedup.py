@@ -35,7 +35,7 @@ from .words import _BACK, _POWER, _VALUE_AS_IS, U, mix
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block, bytes that a pass looks at together, keys that one task merges.
-BLOCK, PIECE, MERGED = 4 << 20, 1 << 19, 3 << 20
+BLOCK, PIECE, MERGED = 1 << 20, 1 << 19, 3 << 19
 _LAST = np.iinfo(np.int64).max
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -142,8 +142,8 @@ class Block:
                 step = min(have, width - have)
                 m = np.minimum(m[:-step], m[step:])
                 have += step
-            doc = np.repeat(np.arange(first, last), count)
-            at = np.repeat(a - lo, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            doc = np.repeat(np.arange(first, last, dtype=np.int32), count)
+            at = np.repeat((a - lo - np.cumsum(count) + count).astype(np.int32), count) + np.arange(len(doc), dtype=np.int32)
             yield lo, doc, at, m[at], run
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ class Block:
             at, doc = at[hit], doc[hit]
             out.append((mix((run[at + LENGTH] - run[at]) * _BACK[at] ^ U(0x5DEECE66D)), doc, at + lo))
         if not out:
-            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int64)
         h, doc, pos = (np.concatenate(x) for x in zip(*out))
         o = np.lexsort((self.ids[doc], h))
         return h[o], doc[o], pos[o]
