@@ -186,7 +186,7 @@ class Lowering:
             return not A.has_wild(t) and A.term_vars(t) <= set(f.vars)
 
         into = [i for i, t in enumerate(a.args) if (mode[i] if mode else is_ground(t))]
-        rel = self.c.relation(a.pred)
+        rel = self.c.relation(a.pred).distinct()
         if not into:
             n = rel.count()
             if n != 1:
