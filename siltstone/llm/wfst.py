@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, narrow
+from .common import bounded_batches, narrow, release
 
 MARK = "▁"
 #: Segments and pairs of pieces that a worker remembers; longer segments are not remembered.
-REMEMBERED, PAIRS, LONG = 400_000, 1_000_000, 48
+REMEMBERED, PAIRS, LONG = 800_000, 1_000_000, 48
 UNIGRAM, BPE = 1, 2
 
 
@@ -81,6 +81,7 @@ class Transducer:
         self.pieces = [p for p, _, _ in pieces]
         self.score = {p: s for p, s, t in pieces if t in (1, 4)}  # normal and user-defined pieces spell text
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (1, 4)}
+        self.code = {p: struct.pack("<i", i) for p, i in self.id.items()}
         self.unknown = next(i for i, (_, _, t) in enumerate(pieces) if t == 2)
         bytes_ = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(pieces) if t == 6}
         self.bytes = bytes_ if fallback and len(bytes_) == 256 else None
@@ -140,25 +141,56 @@ class Transducer:
 
     def shortest(self, text: str) -> list[str]:
         """Pieces on the shortest path; a character that is no piece stands for itself."""
+        return self._only_path(text) if self.kind == BPE else self._cheapest(text)
+
+    def _only_path(self, text: str) -> list[str]:
+        """Of a BPE model: each prefix has one path of finite weight, so the first stable arc to a place is the last."""
+        n = len(text)
+        last: list = [None] * (n + 1)
+        back = [0] * (n + 1)
+        root, stable, fits = self.root, self.stable, self._fits
+        for s in range(n):
+            prev = last[s]
+            if prev is None and s:
+                continue
+            node, e = root, s
+            while e < n:
+                node = node.get(text[e])
+                if node is None:
+                    break
+                e += 1
+                if last[e] is None and "" in node:
+                    p = node[""]
+                    ok = stable.get((prev, p))
+                    if ok if ok is not None else fits(prev, p):
+                        last[e] = p
+                        back[e] = s
+            c = text[s]
+            if last[s + 1] is None and c not in self.id and fits(prev, c):
+                last[s + 1] = c
+                back[s + 1] = s
+        out, e = [], n
+        while e:
+            out.append(last[e])
+            e = back[e]
+        out.reverse()
+        return out
+
+    def _cheapest(self, text: str) -> list[str]:
+        """Of a unigram model: the least sum of weights."""
         n = len(text)
         cost, last, back = [math.inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
-        bpe, root, fits = self.kind == BPE, self.root, self._fits
         for s in range(n):
-            here = cost[s]
-            if here == math.inf:
-                continue
-            prev, node, e = last[s], root, s
-            arcs = []
+            node, e, one = self.root, s, False
             while e < n and (node := node.get(text[e])) is not None:
                 e += 1
                 if (p := node.get("")) is not None:
-                    arcs.append((e, p, 1.0 if bpe else -self.score[p]))
-            if not arcs or arcs[0][0] != s + 1:
-                arcs.append((s + 1, text[s], 1.0 if bpe else -self.penalty))
-            for e, p, w in arcs:
-                if here + w < cost[e] and (not bpe or fits(prev, p)):
-                    cost[e], last[e], back[e] = here + w, p, s
+                    one |= e == s + 1
+                    if cost[s] - self.score[p] < cost[e]:
+                        cost[e], last[e], back[e] = cost[s] - self.score[p], p, s
+            if not one and cost[s] - self.penalty < cost[s + 1]:
+                cost[s + 1], last[s + 1], back[s + 1] = cost[s] - self.penalty, text[s], s
         out, e = [], n
         while e:
             out.append(last[e])
@@ -167,16 +199,20 @@ class Transducer:
 
     def segment(self, text: str) -> bytes:
         """Ids of a segment, four bytes each."""
-        out: list[int] = []
-        for p in self.shortest(text):
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
+        code, path = self.code, self.shortest(text)
+        try:
+            return b"".join([code[p] for p in path])
+        except KeyError:
+            pass
+        out: list[bytes] = []
+        for p in path:
+            if p in code:
+                out.append(code[p])
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return np.array(out, "<i4").tobytes()
+                out += [struct.pack("<i", self.bytes[b]) for b in p.encode()]
+            elif not out or out[-1] != struct.pack("<i", self.unknown):
+                out.append(struct.pack("<i", self.unknown))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
@@ -188,14 +224,19 @@ class Transducer:
 
 
 class _Memo(dict):
+    """Segments seen: when it is full it becomes the older half, and what is asked for again moves back to the new one."""
+
     def __init__(self, owner: Transducer):
         super().__init__()
-        self.owner = owner
+        self.owner, self.old = owner, {}
 
     def __missing__(self, text: str) -> bytes:
-        got = self.owner.segment(text)
+        got = self.old.get(text)
+        if got is None:
+            got = self.owner.segment(text)
         if len(text) <= LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
             self[text] = got
         return got
@@ -235,6 +276,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     got.append(x if ids else None)
                 cols = [part.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(fall, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(got, pa.list_(pa.int32()))] if ids else [])], [*"doc_id n_bytes n_pieces n_fallback ids_sha256 round_trip".split(), *(["ids"] if ids else [])])
+        release()
 
     schema = "doc_id long, n_bytes long, n_pieces long, n_fallback long, ids_sha256 string, round_trip boolean"
     return narrow(docs, id_col, text_col).mapInArrow(run, schema + (", ids array<int>" if ids else ""))
