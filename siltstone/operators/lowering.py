@@ -8,13 +8,13 @@ stays lazy but the checks that must be able to end a run: arithmetic, cardinalit
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import boxed, fmt, kind_of, known_type, merged, nullable, opaque, order_key, same, some, spark_type, unsome
+from ..functions.values import fmt, kind_of, known_type, merged, nullable, opaque, order_key, same, some, spark_type, unsome
 from ..plans.resolve import BUILTINS, Predicate
 from ..syntax import ast as A
 from . import errors
@@ -45,7 +45,6 @@ class Context:
     hops: Callable[[], DataFrame] | None = None
     note: Callable[[str], None] = lambda text: None
     serial: int = 0
-    types: dict[str, A.Ty] = field(default_factory=dict)
 
     def fresh(self) -> str:
         self.serial += 1
@@ -436,5 +435,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _relation(op: str, a: Column, b: Column) -> Column:
     return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
-
-__all__ = ["Context", "Frame", "Lowering", "boxed"]

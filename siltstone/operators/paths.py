@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import order_key, spark_type
+from ..functions.values import spark_type
 from ..storage import stored
 from ..syntax import ast as A
 
@@ -78,5 +78,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
         out = out.union(p)
     return out
 
-
-__all__ = ["Paths", "order_key"]

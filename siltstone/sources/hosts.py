@@ -117,6 +117,30 @@ STAR = {
 }
 
 
+class FileHost(Host):
+    """Relations from anything that Spark reads: {name: (format, path or None, options, columns or None)}, with an optional schema among the options.
+
+    Formats are those of ``spark.read.format``: parquet, orc, csv, json, text, jdbc.  Columns are names or Columns, in declared order.
+    """
+
+    def __init__(self, spark: SparkSession, relations: dict[str, tuple], stamp: str = "files"):
+        self.spark, self.relations, self.stamp = spark, relations, stamp
+
+    def world_stamp(self) -> str:
+        return self.stamp
+
+    def extern(self, name: str) -> DataFrame | None:
+        if name not in self.relations:
+            return None
+        kind, path, options, columns = self.relations[name]
+        options = dict(options)
+        reader = self.spark.read.format(kind)
+        if schema := options.pop("schema", None):
+            reader = reader.schema(schema)
+        df = reader.options(**options).load(path) if path else reader.options(**options).load()
+        return df.select(*columns) if columns else df
+
+
 class ParquetHost(Host):
     """The star schema of a folder of Parquet tables. Frames stay lazy, so filters and columns reach the scans."""
 
