@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,36 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a numpy pass looks at together; bounds the memory of a Python worker.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if found.isEmpty():
-        at = at or tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(at)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return at or found.get()
-
+from ..storage import shared_dir, stored
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: the lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone by now
-        pass
+#: Bytes of text that a numpy pass looks at together; bounds the memory of a Python worker.
+CHUNK_BYTES = 1 << 20
+#: Batches that this worker has seen.
+_batches = [0]
 
 
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,12 +24,21 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 800) -> None:
     """Fewer rows in an Arrow batch than Spark's default: with very long texts a batch still fits in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, and an executor's memory is shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty), and the offsets of its rows in them."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,7 +54,7 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids as int64 with a null mask applied later, bytes, offsets) of at most ``limit`` bytes, or of one longer text."""
+    """(ids, bytes, offsets) of at most ``limit`` bytes, or of one longer text."""
     for batch in batches:
         buf, offs = flat_text(batch.column(1))
         ids = batch.column(0)
@@ -80,3 +63,11 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
             yield ids.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
+        del batch, buf, offs, ids
+        _batches[0] += 1
+        if _batches[0] % 16 == 0:
+            release()
+    release()
+
+
+__all__ = ["CHUNK_BYTES", "bounded_batches", "flat_text", "narrow", "release", "shared_dir", "stored", "text_chunks"]

@@ -20,12 +20,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, narrow, stored, text_chunks
+from .common import bounded_batches, narrow, release, stored, text_chunks
 from .components import components
 from .membership import build, maybe
 from .words import NOT_SPACE, U, bounds, doc_sets, hashes, mix
@@ -81,6 +80,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             hit = maybe(filt, x)
             hit &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
             part = b.filter(pa.array(hit))
+            del b
             for got, buf, offs in text_chunks(iter([part])):
                 starts, ends, ptr = bounds(buf, offs, NOT_SPACE)
                 sets = doc_sets(hashes(buf, starts, ends), ptr, width)
@@ -100,15 +100,19 @@ def _common(a: str, b: str):
 def _block_links(percent: int):
     """Links between two blocks of a group, as a spanning forest; all sets are compared, by one matrix product."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "member"])
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = bool(pdf.same.iloc[0])
-        if same:
-            right = left
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        flat = [np.asarray(x) for x in left.shingles], [np.asarray(x) for x in right.shingles]
+    def run(key, table):
+        release()
+        seen: set = set()
+        sides: tuple[list, list] = ([], [])
+        for b in table.to_batches():
+            for i, (side, member) in enumerate(zip(b.column("side").to_pylist(), b.column("member").to_pylist())):
+                if (side, member) not in seen:
+                    seen.add((side, member))
+                    sides[side].append((member, b.column("shingles")[i].values.to_numpy(zero_copy_only=False)))
+        left, right = sides[0], sides[0] if table.column("same")[0].as_py() else sides[1]
+        if not left or not right:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        flat = [x for _, x in left], [x for _, x in right]
         sizes = [np.array([len(x) for x in f]) for f in flat]
         vals = [np.concatenate(f) for f in flat]
         rows = [np.repeat(np.arange(len(s)), s) for s in sizes]
@@ -130,7 +134,7 @@ def _block_links(percent: int):
         inter = np.rint(inter).astype(np.int64)
         union = sizes[0][:, None] + sizes[1][None, :] - inter
         i, j = np.nonzero(inter * 100 >= union * percent)
-        ia, jb = left.member.to_numpy()[i], right.member.to_numpy()[j]
+        ia, jb = np.array([m for m, _ in left])[i], np.array([m for m, _ in right])[j]
         root: dict[int, int] = {}
 
         def find(x):
@@ -144,7 +148,7 @@ def _block_links(percent: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -244,4 +248,4 @@ def _rest_of_groups(star: DataFrame, percent: int) -> DataFrame:
     wanted = side(0, "band_a", "i").union(side(1, "band_b", "j").where("not same"))
     rows = star.join(bands, ["pivot", "band"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     dealt = rows.select("pivot", "band", "block", "member", "shingles").join(wanted, ["pivot", "band", "block"]).select("task", "same", "side", "member", "shingles")
-    return dealt.groupBy("task").applyInPandas(_block_links(percent), "a long, b long")
+    return dealt.groupBy("task").applyInArrow(_block_links(percent), "a long, b long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, text_chunks
+from .common import bounded_batches, release, stored, text_chunks
 from .membership import build, maybe
 from .words import ALNUM, bounds, hashes
 
@@ -154,6 +154,7 @@ def _scan(batches):
         near = [_near(t, f) if b else [] for t, f, b in zip(texts, found, base)]
         cols = [batch.column(0), batch.column(2), batch.column(3), *n, pa.array(base), pa.array(sha), pa.array(near, _NEAR_TYPE)]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "near"])
+    release()
 
 
 def _term_counts(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -252,5 +253,6 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*b.columns[:at], new, *b.columns[at + 1 : len(names)]], names)
 
     clean = wide.mapInArrow(part(False), wide.schema).select("row.*")
-    some = wide.mapInArrow(part(True), wide.schema).join(marked, ["k1", "k2"], "left").select("row.*", F.col("spans").alias("__spans"))
+    # stored, so that no stage holds two Python nodes and with them two workers a task
+    some = stored(wide.mapInArrow(part(True), wide.schema)).join(marked, ["k1", "k2"], "left").select("row.*", F.col("spans").alias("__spans"))
     return clean.unionByName(some.mapInArrow(apply, docs.schema))

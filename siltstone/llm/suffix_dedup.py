@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_text, narrow, shared_dir, stored
+from .common import bounded_batches, flat_text, narrow, release, shared_dir, stored
 from .words import _BACK, _POWER, _VALUE_AS_IS, U, mix
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block, bytes that a pass looks at together, keys that one task merges.
-BLOCK, PIECE, MERGED = 1 << 20, 1 << 19, 3 << 19
+BLOCK, PIECE, MERGED = 1 << 20, 1 << 17, 3 << 19
 _LAST = np.iinfo(np.int64).max
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -277,6 +277,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             for i in range(b.num_rows):
                 yield b.slice(i, 1).to_pylist()[0]
+            release()
 
     n1 = 1 + total // (16 * MERGED)
 

@@ -29,7 +29,7 @@ from .common import bounded_batches, narrow, release
 
 MARK = "▁"
 #: Segments and pairs of pieces that a worker remembers; longer segments are not remembered.
-REMEMBERED, PAIRS, LONG = 800_000, 1_000_000, 48
+REMEMBERED, PAIRS, LONG = 400_000, 400_000, 48
 UNIGRAM, BPE = 1, 2
 
 

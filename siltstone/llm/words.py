@@ -8,7 +8,8 @@ U = np.uint64
 #: Odd multiplier of the rolling polynomial, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 20
+#: Bytes that one table of powers spans.
+_SPAN = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
