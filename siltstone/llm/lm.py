@@ -227,7 +227,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
                 g = np.add.reduceat(gain[order], first) if len(first) else np.zeros(0)
                 at = np.searchsorted(dd[first], np.arange(docs_n + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (hh[first].view(np.int64), tf.astype(np.int32), g.astype(np.float32))]
-                cols = [pa.array(rid + np.arange(docs_n)), ids, batch.column(2).slice(lo, docs_n), pa.array(np.diff(ptr)), pa.array(np.bincount(doc[hit], minlength=docs_n)), pa.array(base), pa.array(better), *lists]
+                cols = [pa.array(rid + np.arange(docs_n)), ids, batch.column(2).slice(lo, docs_n), pa.array(np.diff(ptr)), pa.array(np.bincount(doc[hit], minlength=docs_n)), pa.array(base.astype(np.float64)), pa.array(better.astype(np.float64)), *lists]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "gain", "w", "tf", "g"])
                 lo += docs_n
                 rid += docs_n

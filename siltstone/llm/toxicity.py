@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word bigram models, of toxic and of ordinary texts, interpolate absolutely discounted class counts with
-counts shared by both classes: a rare expression (fewer than ``least`` occurrences in the sample) is known
+counts shared by both classes: a rare expression (too few occurrences in the sample to tell) is known
 to the shared model alone and speaks for neither class.  A text's evidence is the
 difference of the two log-likelihoods a word, over the whole text and over its strongest words;
 a logistic fit on texts that the counts have not seen turns it into a score.
@@ -23,6 +23,8 @@ from .words import ALNUM, U, bounds, hashes, mix
 DISCOUNT = 0.75
 #: Labelled rows of each class that the models are fitted on, chosen by hash; one in four calibrates the score.
 FIT_ROWS = 6000
+#: Words among which none should seem toxic by accident.
+RARE = 200_000
 #: Score from which a text is rejected.
 REJECT = 0.7
 
@@ -164,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
     chosen = labels.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id"))).where(F.col("r") <= fit_rows)
     share = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
-    least = int(min(24, max(6, sum(min(fit_rows, n) for n in share.values()) // 200)))
+    # so many occurrences in one class alone are no accident, among RARE words
+    part = min(max(min(fit_rows, share.get(1, 0)) / max(1, sum(min(fit_rows, n) for n in share.values())), 0.01), 0.5)
+    least = int(min(24, max(4, math.ceil(math.log(RARE) / -math.log(part)))))
     model = Model.of(_counts(texts.where("r % 4 <> 0")), least)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
