@@ -40,9 +40,7 @@ class Paths:
         done: list[DataFrame] = []
         level = 0
         while True:
-            hit = front.where("node = b").select("g", "a", "b", "hops", "keys", F.lit(level).alias("n"))
-            hit = stored(hit)
-            done.append(hit)
+            done.append(front.where("node = b").select("g", "a", "b", "hops", "keys", F.lit(level).alias("n")))  # of stored rows
             if level >= depth:
                 break
             alive = front.where("node <> b")
