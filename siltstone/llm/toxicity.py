@@ -162,9 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    chosen = labels.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id"))).where(F.col("r") <= fit_rows)
     share = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # the smallest hashes: first those under a bound that leaves about twice as many, so that ranking sees no more rows on any table
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    bound = F.coalesce(*[F.when(F.col("toxic") == k, int((1 << 40) * min(1.0, 2 * fit_rows / n))) for k, n in share.items()], F.lit(0).cast("long"))
+    ranked = labels.where(order < bound).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")))
+    chosen = ranked.where(F.col("r") <= fit_rows)
     texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
     # so many occurrences in one class alone are no accident, among RARE words
     part = min(max(min(fit_rows, share.get(1, 0)) / max(1, sum(min(fit_rows, n) for n in share.values())), 0.01), 0.5)
