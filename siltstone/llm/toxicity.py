@@ -23,8 +23,6 @@ from .words import ALNUM, U, bounds, hashes, mix
 DISCOUNT = 0.75
 #: Labelled rows of each class that the models are fitted on, chosen by hash; one in four calibrates the score.
 FIT_ROWS = 6000
-#: Words among which none should seem toxic by accident.
-RARE = 200_000
 #: Score from which a text is rejected.
 REJECT = 0.7
 
@@ -169,9 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
     ranked = labels.where(order < bound).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")))
     chosen = ranked.where(F.col("r") <= fit_rows)
     texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
-    # so many occurrences in one class alone are no accident, among RARE words
-    part = min(max(min(fit_rows, share.get(1, 0)) / max(1, sum(min(fit_rows, n) for n in share.values())), 0.01), 0.5)
-    least = int(min(24, max(4, math.ceil(math.log(RARE) / -math.log(part)))))
+    # larger samples hold more words that lean to a class by accident
+    least = int(min(24, max(6, sum(min(fit_rows, n) for n in share.values()) // 300)))
     model = Model.of(_counts(texts.where("r % 4 <> 0")), least)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
