@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
     chosen = ranked.where(F.col("r") <= fit_rows)
     texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
     # larger samples hold more words that lean to a class by accident
-    least = int(min(24, max(6, sum(min(fit_rows, n) for n in share.values()) // 300)))
+    least = int(min(60, max(6, sum(min(fit_rows, n) for n in share.values()) // 300)))
     model = Model.of(_counts(texts.where("r % 4 <> 0")), least)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
