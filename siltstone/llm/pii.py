@@ -157,35 +157,49 @@ def _scan(batches):
     release()
 
 
-def _term_counts(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, texts): in how many texts of the corpus each candidate term occurs; one row a term and batch is shuffled."""
-    known = keyed.sparkSession.sparkContext.broadcast(build(candidates.select("term").distinct()))
+def _term_counts(keyed: DataFrame, candidates: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, texts): in how many different texts each candidate term occurs.
 
-    def run(batches):
-        for _, buf, offs in text_chunks(batches):
-            starts, ends, ptr = bounds(buf, offs, ALNUM)
-            h = hashes(buf, starts, ends)
-            hit = np.flatnonzero(maybe(known.value, h))
-            if not len(hit):
-                continue
-            doc = np.searchsorted(ptr, hit, "right") - 1
-            pair = np.unique(np.stack([h[hit].view(np.int64), doc], 1), axis=0)
-            term, n = np.unique(pair[:, 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "texts"])
+    One row a term and batch is shuffled, and of texts with copies one a term and text.
+    """
+    context = keyed.sparkSession.sparkContext
+    known, twice = context.broadcast(build(candidates.select("term").distinct())), context.broadcast(build(copied.select("k1")))
 
-    got = keyed.select("doc_id", "text").mapInArrow(run, "term long, texts long")
-    return got.groupBy("term").agg(F.sum("texts").alias("texts"))
+    def run(batches):
+        for batch in batches:
+            k1, k2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            again, lo = maybe(twice.value, k1), 0
+            for ids, buf, offs in text_chunks(iter([batch])):
+                starts, ends, ptr = bounds(buf, offs, ALNUM)
+                h = hashes(buf, starts, ends)
+                hit = np.flatnonzero(maybe(known.value, h))
+                doc = lo + np.searchsorted(ptr, hit, "right") - 1
+                lo += len(ids)
+                pair = np.unique(np.stack([h[hit].view(np.int64), doc], 1), axis=0)
+                more = again[pair[:, 1]]
+                term, n = np.unique(pair[~more, 0], return_counts=True)
+                one, at = pair[more, 0], pair[more, 1]
+                keys = [pa.array(np.concatenate([np.zeros(len(term), np.int64), k[at]])) for k in (k1, k2)]
+                n = np.concatenate([n, np.zeros(len(one), np.int64)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([term, one])), pa.array(n), *keys], ["term", "texts", "k1", "k2"])
+
+    got = keyed.select("doc_id", "text", "k1", "k2").mapInArrow(run, "term long, texts long, k1 long, k2 long")
+    # rows of texts with copies have 0 texts: each text counts once
+    each = got.groupBy("term", "k1", "k2").agg(F.sum("texts").alias("texts"), F.max((F.col("texts") == 0).cast("long")).alias("copied"))
+    return each.groupBy("term").agg(F.sum(F.col("texts") + F.col("copied")).alias("texts"))
 
 
 def _disclosing(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term) of the terms that disclose an entity."""
+    """(entity, term) of the terms that disclose an entity.  Copies of a text count once on every side."""
     near = found.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    each = near.select("entity", "term", "context").distinct()  # a copied context counts once
-    pairs = stored(each.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= CONTEXTS))
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
-    total = keyed.count()
-    seen = pairs.join(_term_counts(keyed, pairs), "term").join(entities, "entity")
-    bits = F.log2(F.col("both") * total / (F.col("texts") * F.col("contexts")))
+    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    both = near.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    pairs = stored(contexts.join(both, ["entity", "term"]).select("entity", "term", "both"))
+    entities = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("named"))
+    texts = stored(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")))
+    total = texts.count()
+    seen = pairs.join(_term_counts(keyed, pairs, texts.where("n > 1")), "term").join(entities, "entity")
+    bits = F.log2(F.col("both") * total / (F.col("texts") * F.col("named")))
     return seen.where((F.col("both") >= F.col("texts") * SHARE) & (bits >= BITS)).select("entity", "term")
 
 

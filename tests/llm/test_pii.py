@@ -72,6 +72,13 @@ def test_copies_of_a_context_disclose_nothing(spark):
     assert all("term" not in r.spans for r in P.find(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_copies_of_a_text_hide_nothing(spark):
+    rows = corpus()
+    rows += [(3000 + i, rows[2500][1]) for i in range(40)]  # one of five disclosing texts has 40 copies
+    got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all("term:" in got[i] for i in (*range(1001, 1005), 3000, 3039))
+
+
 def test_sanitised_texts(spark):
     rows = [(*r, k, "z") for k, r in enumerate(corpus())]
     df = spark.createDataFrame(rows, SCHEMA + ", k1 int, spans string").repartition(3)
