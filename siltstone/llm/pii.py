@@ -1,12 +1,12 @@
 """Personal data, by patterns and by information-theoretic sanitisation.
 
 Patterns find the protected entities: addresses, card and telephone numbers.  The corpus then says how strongly the
-words around an entity reveal it: a term discloses an entity if it stands near it in several different contexts, if its
-other occurrences in the corpus are few (the entity is at least ``SHARE`` of where the term occurs) and the two are
-associated by at least ``BITS`` of pointwise mutual information.  Such terms are marked wherever they stand near that entity, and
+words of a text reveal an entity in it: a term discloses an entity if texts hold both in several different contexts of the entity
+(the words near it), if its other texts in the corpus are few (the entity is in at least ``SHARE`` of the term's texts) and the two are
+associated by at least ``BITS`` of pointwise mutual information.  Such terms are marked wherever they stand in a text with that entity, and
 sanitising generalises entities and terms to their kinds.
 
-Counts cover all texts.  Only words near entities and counts of candidate terms are shuffled; the texts are not.
+Counts cover all texts.  Only words of texts whose entities have enough contexts and counts of candidate terms are shuffled; the texts are not.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, release, stored, text_chunks
 from .membership import build, maybe
-from .words import ALNUM, bounds, hashes
+from .words import ALNUM, U, bounds, hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity, different contexts, share of a term's occurrences, and bits of mutual information.
+#: Words on each side of an entity that make its context, different contexts, share of a term's occurrences, and bits of mutual information.
 NEAR, CONTEXTS, SHARE, BITS = 6, 3, 0.5, 8.0
-#: Characters in which the words near an entity are looked for.
+#: Characters in which the context of an entity is looked for.
 _REACH = 200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,11 +96,6 @@ def _h(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _term_hash(word: str) -> int:
-    buf = np.frombuffer(word.encode(), np.uint8)
-    return int(hashes(buf, np.array([0]), np.array([len(buf)])).view(np.int64)[0])
-
-
 def _fold(text: str) -> str:
     return text.translate(_FOLD)
 
@@ -108,8 +103,15 @@ def _fold(text: str) -> str:
 _FOLD = {i: i + 32 for i in range(65, 91)}
 
 
-def _near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
-    """The words around each entity: entity, context, term, where the term stands."""
+def _term_hashes(words: list[str]) -> np.ndarray:
+    parts = [w.encode("utf-8", "surrogatepass") for w in words]
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    return hashes(np.frombuffer(b"".join(parts), np.uint8), starts, ends).view(np.int64)
+
+
+def _named(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
+    """The entities of a text, each with the words near it as its context."""
     every = sorted(s for k in KINDS for s in spans[k])
     out = []
     for k in KINDS:
@@ -124,14 +126,25 @@ def _near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
                 after = after[:-1]
             words = before[-NEAR:] + after[:NEAR]
             words = [w for w in words if not any(x < w[2] and w[1] < y for x, y in every)]
-            context = _h(" ".join(w[0] for w in words))
-            entity = _h(k + ":" + _fold(text[a:b]))
-            out += [{"entity": entity, "context": context, "term": _term_hash(w), "start": s, "end": e} for w, s, e in words]
+            out.append({"entity": _h(k + ":" + _fold(text[a:b])), "context": _h(" ".join(w[0] for w in words))})
+    return out
+
+
+def _terms(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """All words of a text that no entity overlaps."""
+    every = sorted(s for k in KINDS for s in spans[k])
+    out, i, reach = [], 0, 0
+    for m in _WORD.finditer(_fold(text)):
+        while i < len(every) and every[i][0] < m.end():
+            reach = max(reach, every[i][1])
+            i += 1
+        if reach <= m.start():
+            out.append((m[0], m.start(), m.end()))
     return out
 
 
-_NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near array<struct<entity:long,context:long,term:long,start:long,end:long>>"
+_NAMED_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
+_FOUND = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, named array<struct<entity:long,context:long>>"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,9 +164,9 @@ def _scan(batches):
         base = [_text(f) for f in found]
         n = [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS]
         sha = [hashlib.sha256(b.encode()).hexdigest() for b in base]
-        near = [_near(t, f) if b else [] for t, f, b in zip(texts, found, base)]
-        cols = [batch.column(0), batch.column(2), batch.column(3), *n, pa.array(base), pa.array(sha), pa.array(near, _NEAR_TYPE)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "near"])
+        named = [_named(t, f) if b else [] for t, f, b in zip(texts, found, base)]
+        cols = [batch.column(0), batch.column(2), batch.column(3), *n, pa.array(base), pa.array(sha), pa.array(named, _NAMED_TYPE)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "named"])
     release()
 
 
@@ -189,13 +202,38 @@ def _term_counts(keyed: DataFrame, candidates: DataFrame, copied: DataFrame) ->
     return each.groupBy("term").agg(F.sum(F.col("texts") + F.col("copied")).alias("texts"))
 
 
-def _disclosing(keyed: DataFrame, found: DataFrame) -> DataFrame:
+def _words_in(keyed: DataFrame, texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, term) of the words in ``texts``, or (k1, k2, term, start, end) of all places of ``terms`` in them; wrong ones pass rarely, for joins to take away."""
+    context = keyed.sparkSession.sparkContext
+    inside = context.broadcast(build(texts.select("k1").distinct()))
+    known = context.broadcast(build(terms.select("term").distinct())) if terms is not None else None
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(maybe(inside.value, batch.column(1).to_numpy())))
+            for t, k1, k2 in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _terms(t, base_spans(t))
+                if not words:
+                    continue
+                h, start, end = _term_hashes([w[0] for w in words]), np.array([w[1] for w in words]), np.array([w[2] for w in words])
+                at = np.unique(h, return_index=True)[1] if known is None else np.flatnonzero(maybe(known.value, h.view(U)))
+                cols = [np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), h[at], start[at], end[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "term", "start", "end"])
+        release()
+
+    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, term long, start long, end long")
+
+
+def _disclosing(keyed: DataFrame, named: DataFrame) -> DataFrame:
     """(entity, term) of the terms that disclose an entity.  Copies of a text count once on every side."""
-    near = found.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    both = near.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    # a term has no more contexts than its entity
+    entities = stored(named.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("k1", "k2").alias("named")).where(F.col("contexts") >= CONTEXTS))
+    hot = stored(named.join(entities.select("entity"), "entity"))
+    words = stored(_words_in(keyed, hot).select("k1", "k2", "term").distinct())
+    each = hot.join(words, ["k1", "k2"])
+    contexts = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    both = each.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = stored(contexts.join(both, ["entity", "term"]).select("entity", "term", "both"))
-    entities = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("named"))
     texts = stored(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")))
     total = texts.count()
     seen = pairs.join(_term_counts(keyed, pairs, texts.where("n > 1")), "term").join(entities, "entity")
@@ -212,11 +250,13 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     found = stored(keyed.mapInArrow(_scan, _FOUND))
-    flagged = _disclosing(keyed, found)
-    near = found.where(F.size("near") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.entity", "x.term", "x.start", "x.end")
-    more = near.join(flagged, ["entity", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    named = stored(found.where(F.size("named") > 0).select("k1", "k2", F.explode("named").alias("x")).select("k1", "k2", "x.*").distinct())
+    flagged = stored(_disclosing(keyed, named))
+    marked = stored(named.join(flagged, "entity").select("k1", "k2", "term").distinct())
+    places = _words_in(keyed, marked, flagged).distinct().join(marked, ["k1", "k2", "term"])
+    more = places.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     more = more.select("k1", "k2", F.array_join(F.transform("more", lambda s: F.concat(F.lit("term:"), s.start.cast("string"), F.lit(":"), s.end.cast("string"))), ",").alias("added"))
-    out = found.drop("near").join(more, ["k1", "k2"], "left")
+    out = found.drop("named").join(more, ["k1", "k2"], "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("added"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), "k1", "k2")
 

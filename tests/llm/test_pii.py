@@ -79,6 +79,15 @@ def test_copies_of_a_text_hide_nothing(spark):
     assert all("term:" in got[i] for i in (*range(1001, 1005), 3000, 3039))
 
 
+def test_terms_far_from_their_entity(spark):
+    far = " ".join(f"filler{i % 7}" for i in range(60))
+    rows = corpus()
+    rows += [(3000 + i, f"Quuxley {far} a{i} b{i} bob@corp.example.com {far} quuxley") for i in range(4)]
+    got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, t in rows[-4:]:
+        assert {"term:0:7", f"term:{len(t) - 7}:{len(t)}"} <= set(got[i].split(","))
+
+
 def test_sanitised_texts(spark):
     rows = [(*r, k, "z") for k, r in enumerate(corpus())]
     df = spark.createDataFrame(rows, SCHEMA + ", k1 int, spans string").repartition(3)
