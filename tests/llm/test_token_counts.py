@@ -25,6 +25,41 @@ def test_places_without_a_splice(text):
     assert T.count_long(tok, text, 1000, 50) == len(tok.encode(text, add_special_tokens=False).ids)
 
 
+def mixture(rnd, size):
+    """Words, blanks and unbroken runs of letters, digits, signs and letters of other scripts."""
+    out, n = [], 0
+    while n < size:
+        kind = rnd.randrange(8)
+        if kind < 3:
+            part = " ".join("".join(rnd.choice("abcdefgh'") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 400)))
+        elif kind == 3:
+            part = rnd.choice([" ", "\n", "\t ", "\u3000"]) * rnd.choice([1, 3, 900])
+        else:
+            part = "".join(rnd.choices(["ab", "aZ09+/", "\u6f22\u5b57\u304b", "{};=()x1"][kind - 4], k=rnd.choice([30, 700, 5000])))
+        out.append(part + rnd.choice(["", " "]))
+        n += len(out[-1])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_mixtures(name):
+    tok = T.load(public_tokenizers.path(name))
+    rnd = random.Random(name)
+    assert T.memoryless(tok)
+    for _ in range(60):
+        text = mixture(rnd, rnd.randrange(2000, 20000))
+        assert T.count_long(tok, text, rnd.choice([300, 1000, 4000]), rnd.choice([20, 100])) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("words, run, more", [(20000, 300000, 0), (15000, 200000, 20000)])
+def test_unbroken_run_after_a_splice(words, run, more):
+    """After a splice the next chunk begins at the splice: no token before it is counted again."""
+    tok, rnd = T.load(PATH), random.Random(words)
+    some = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(n))
+    text = some(words) + " " + "".join(rnd.choices("abcdefghij", k=run)) + " " + some(more)
+    assert T.count_long(tok, text) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
 def test_table(spark, sf):
     from tokenizers import Tokenizer
 
