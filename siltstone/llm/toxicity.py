@@ -1,10 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word bigram models, of toxic and of ordinary texts, interpolate absolutely discounted class counts with
-counts shared by both classes: a rare expression (too few occurrences in the sample to tell) is known
-to the shared model alone and speaks for neither class.  A text's evidence is the
-difference of the two log-likelihoods a word, over the whole text and over its strongest words;
-a logistic fit on texts that the counts have not seen turns it into a score.
+A model of toxic and one of ordinary texts spell words letter by letter.  A word counts as often as different words precede it (Kneser and
+Ney's continuation counts, so copies and repetitions add nothing).  With h the letters of a word so far and x the next one, c the counts of a class and C those of both:
+
+    P_class(x | h) = (1 - g) * (max(c(hx) - D, 0) + D * n(h) * R(x | h)) / c(h) + g * Q(x | last letter of h)
+    R(x | h) = max(C(hx) - D, 0) / sum over x of max(C(hx) - D, 0),   g = D * N(h) / C(h)
+
+n(h) and N(h) are the numbers of different letters after h in the class and in both, Q says after how many different h a letter
+follows the last one.  R, g and Q are shared by both classes: what is rare in both, or after letters that a class has not seen,
+is spelled by the shared counts and speaks for neither.  No count is too small to enter.
+
+A text's evidence is the length-normalised difference of its two log-likelihoods over all its words, over its strongest word and over its three strongest: a toxic
+expression may be a word in thousands.  A logistic fit on texts that the counts have not seen turns it into a score.
 """
 
 from __future__ import annotations
@@ -14,114 +21,139 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, narrow, text_chunks
-from .words import ALNUM, U, bounds, hashes, mix
+from .words import ALNUM, LOWER, U, bounds, hashes, mix
 
 DISCOUNT = 0.75
+#: Bytes of a word that are spelled; longer words that agree in them count as one.
+LETTERS = 16
+#: Added to each count of letter pairs, so that no letter is impossible.
+FLOOR = 0.01
 #: Labelled rows of each class that the models are fitted on, chosen by hash; one in four calibrates the score.
 FIT_ROWS = 6000
 #: Score from which a text is rejected.
 REJECT = 0.7
 
 
-def _pair(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bigram keys; ``first`` marks words without a predecessor."""
-    prev = np.concatenate([np.zeros(1, U), h[:-1]])
-    prev[first] = U(0)
-    return mix(prev * U(0x9FB21C651E98DF25) + h)
+def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first LETTERS bytes of words, folded, each row with a zero after its last."""
+    padded = np.concatenate([LOWER[buf], np.zeros(LETTERS + 1, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, LETTERS + 1)[starts]
+    return np.where(np.arange(LETTERS + 1)[None, :] < np.minimum(ends - starts, LETTERS)[:, None], rows, 0).astype(np.uint8)
 
 
-def _words(buf, offs):
-    starts, ends, ptr = bounds(buf, offs, ALNUM)
-    h = hashes(buf, starts, ends)
-    return h, ptr, ptr[:-1][ptr[:-1] < ptr[1:]]
+def _prefixes(letters: np.ndarray) -> np.ndarray:
+    """Keys of the prefixes of 0, 1, ... letters of each word; the zero at a word's end counts as a letter."""
+    out = np.empty((len(letters), LETTERS + 2), U)
+    out[:, 0] = U(0x2545F4914F6CDD1D)
+    for i in range(LETTERS + 1):
+        out[:, i + 1] = mix(out[:, i] * U(0x9E3779B97F4A7C15) + letters[:, i] + U(1))
+    return out
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(kind, key, first, c0, c1): unigrams (0), bigrams (1) and distinct followers of a word come from here."""
+    """(letters, c0, c1): each word with the number of different words before it, in ordinary and in toxic texts."""
 
     def run(batches):
         for batch in batches:
             toxic = batch.column(2).to_numpy(zero_copy_only=False)
             lo = 0
             for ids, buf, offs in text_chunks(iter([batch])):
-                h, ptr, first = _words(buf, offs)
-                y = np.repeat(toxic[lo : lo + len(ids)], np.diff(ptr)).astype(np.int64)
+                starts, ends, ptr = bounds(buf, offs, ALNUM)
+                y = np.repeat(toxic[lo : lo + len(ids)], np.diff(ptr))
                 lo += len(ids)
-                prev = np.concatenate([np.zeros(1, U), h[:-1]])[: len(h)]
-                prev[first] = U(0)
-                for kind, key, of in ((0, h, np.zeros(len(h), U)), (1, _pair(h, first) if len(h) else h, prev)):
-                    u, at, inv = np.unique(key, return_index=True, return_inverse=True)
-                    c1 = np.bincount(inv, y, len(u)).astype(np.int64)
-                    c = np.bincount(inv, minlength=len(u))
-                    cols = [pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(of[at].view(np.int64)), pa.array(c - c1), pa.array(c1)]
-                    yield pa.RecordBatch.from_arrays(cols, ["kind", "key", "first", "c0", "c1"])
+                if not len(starts):
+                    continue
+                h = hashes(buf, starts, ends)
+                prev = np.concatenate([np.zeros(1, U), h[:-1]])
+                prev[ptr[:-1][ptr[:-1] < ptr[1:]]] = U(0)
+                pair = mix(prev * U(0x9FB21C651E98DF25) + h)
+                _, at = np.unique(pair * U(2) + y.astype(U), return_index=True)
+                flat = _spelled(buf, starts[at], ends[at])[:, :LETTERS]
+                size = np.minimum(ends[at] - starts[at], LETTERS)
+                raw = flat[np.arange(LETTERS)[None, :] < size[:, None]].tobytes()
+                text = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([text, pa.array(pair[at].view(np.int64)), pa.array(1 - y[at].astype(np.int32)), pa.array(y[at].astype(np.int32))], ["letters", "pair", "c0", "c1"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(run, "kind int, key long, first long, c0 long, c1 long")
-    return got.groupBy("kind", "key", "first").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(run, "letters binary, pair long, c0 int, c1 int")
+    each = got.groupBy("letters", "pair").agg(F.max("c0").alias("c0"), F.max("c1").alias("c1"))
+    return each.groupBy("letters").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _sums(group: np.ndarray, n: int, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.bincount(group, c, n) for c in columns]
 
 
 @dataclass
 class Model:
-    """Sorted keys with log-likelihood ratios: of words, and what a known bigram adds to its second word's."""
+    """Sorted keys of all known prefixes of words, the difference of their log-likelihoods, and the weights of the score."""
 
-    uni: np.ndarray
-    uni_llr: np.ndarray
-    bi: np.ndarray
-    bi_llr: np.ndarray
+    keys: np.ndarray
+    llr: np.ndarray
     weights: np.ndarray
 
     @staticmethod
-    def of(counts: DataFrame, least: int) -> Model:
-        counts = counts.persist()
-        total = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum((F.col("c0") > 0).cast("long")).alias("t0"), F.sum((F.col("c1") > 0).cast("long")).alias("t1"), F.count("*").alias("t")).collect()}
-        kept = counts.where(F.col("c0") + F.col("c1") >= least)  # at most tokens of the sample / least rows
-        u = kept.where("kind = 0").select("key", "c0", "c1").toArrow()
-        b = kept.where("kind = 1").toArrow()
-        follow = counts.where("kind = 1").groupBy("first").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.count("*").alias("t"))
-        f = follow.join(kept.where("kind = 1").select("first").distinct(), "first", "left_semi").toArrow()
-        counts.unpersist()
-        if 0 not in total or not total[0].n0 or not total[0].n1:
-            none = np.zeros(0, U), np.zeros(0)
-            return Model(*none, *none, np.zeros(4))
-        t = total[0]
-        col = lambda x, c: x.column(c).to_numpy()
-        key, c0, c1 = col(u, "key").view(U), col(u, "c0"), col(u, "c1")
-        shared = (c0 + c1) / (t.n0 + t.n1)
-        p0 = (np.maximum(c0 - DISCOUNT, 0) + DISCOUNT * t.t0 * shared) / t.n0
-        p1 = (np.maximum(c1 - DISCOUNT, 0) + DISCOUNT * t.t1 * shared) / t.n1
-        o = np.argsort(key)
-        key, p0, p1 = key[o], p0[o], p1[o]
-        bkey, b0, b1, bf = col(b, "key").view(U), col(b, "c0"), col(b, "c1"), col(b, "first")
-        fk = col(f, "first")
-        fo = np.argsort(fk)
-        at = fo[np.searchsorted(fk[fo], bf)] if len(fk) else np.zeros(len(bf), np.int64)
-        n0, n1, tf = col(f, "n0")[at], col(f, "n1")[at], col(f, "t")[at]
-        back = DISCOUNT * tf / np.maximum(n0 + n1, 1)  # shared by both classes
-        low = DISCOUNT / np.maximum(n0 + n1, 1)
-        # the class part of a bigram against the shared one; the unigram ratio stays in the backed-off part
-        pooled = (b0 + b1) / np.maximum(n0 + n1, 1)
-        q0 = np.maximum(b0 - DISCOUNT, 0) / np.maximum(n0, 1) + back * pooled + low
-        q1 = np.maximum(b1 - DISCOUNT, 0) / np.maximum(n1, 1) + back * pooled + low
-        o = np.argsort(bkey)
-        return Model(key, np.log(p1 / p0), bkey[o], np.log(q1 / q0)[o], np.zeros(4))
+    def of(words: pa.Table) -> Model:
+        """From rows (letters, c0, c1), as many as the sample has different words."""
+        c0, c1 = (words.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
+        if not c0.sum() or not c1.sum():
+            return Model(np.zeros(0, U), np.zeros(0), np.zeros(4))
+        raw = words.column("letters").to_pylist()
+        letters = np.frombuffer(b"".join(w.ljust(LETTERS + 1, b"\0") for w in raw), np.uint8).reshape(-1, LETTERS + 1)
+        size = np.array([len(w) for w in raw])
+        every = _prefixes(letters)
+        # a node is a prefix with its last letter x; its parent is h
+        at = [np.flatnonzero(size + 1 >= n) for n in range(1, LETTERS + 2)]
+        word, depth = np.concatenate(at), np.concatenate([np.full(len(a), n) for n, a in enumerate(at, 1)])
+        keys, first, node = np.unique(every[word, depth], return_index=True, return_inverse=True)
+        c0, c1 = _sums(node, len(keys), c0[word], c1[word])
+        word, depth = word[first], depth[first]
+        x, y = letters[word, depth - 1], np.where(depth > 1, letters[word, np.maximum(depth - 2, 0)], 0)
+        above, h = np.unique(every[word, depth - 1], return_inverse=True)
+        pairs = np.full((256, 256), FLOOR)
+        np.add.at(pairs, (y, x), 1.0)
+        low = (pairs / pairs.sum(1, keepdims=True))[y, x]
+        both, n = c0 + c1, len(above)
+        more = np.maximum(both - DISCOUNT, 0)
+        total, kinds, rest = _sums(h, n, both, np.ones(len(h)), more)
+        shared, g = more / rest[h], DISCOUNT * (kinds / total)[h]
+
+        def spelled(c: np.ndarray) -> np.ndarray:
+            seen, kinds = _sums(h, n, c, c > 0)
+            own = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[h] * shared) / np.maximum(seen[h], 1)
+            return (1 - g) * np.where(seen[h] > 0, own, shared) + g * low
+
+        llr = np.log(spelled(c1) / spelled(c0))
+        parent = np.minimum(np.searchsorted(keys, above[h]), len(keys) - 1)
+        for d in range(2, LETTERS + 2):
+            k = np.flatnonzero(depth == d)
+            llr[k] += llr[parent[k]]
+        return Model(keys, llr.astype(np.float32), np.zeros(4))
+
+    def words(self, letters: np.ndarray) -> np.ndarray:
+        """Difference of the log-likelihoods of words: that of the longest known prefix, as the rest is spelled alike."""
+        out, every = np.zeros(len(letters)), _prefixes(letters)
+        going = np.arange(len(letters) if len(self.keys) else 0)
+        for d in range(1, LETTERS + 2):
+            if d > 1:
+                going = going[letters[going, d - 2] > 0]
+            key = every[going, d]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[i] == key
+            going = going[hit]
+            out[going] = self.llr[i[hit]]
+            if not len(going):
+                break
+        return out
 
     def evidence(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """For each text: difference of log-likelihoods a word over all words, over its strongest word, over its three strongest."""
-        h, ptr, first = _words(buf, offs)
-        llr = np.zeros(len(h))
-        if len(h) and len(self.uni):
-            i = np.minimum(np.searchsorted(self.uni, h), len(self.uni) - 1)
-            known = self.uni[i] == h
-            llr[known] = self.uni_llr[i[known]]
-            if len(self.bi):
-                p = _pair(h, first)
-                j = np.minimum(np.searchsorted(self.bi, p), len(self.bi) - 1)
-                known = self.bi[j] == p
-                llr[known] = self.bi_llr[j[known]]
+        starts, ends, ptr = bounds(buf, offs, ALNUM)
+        _, at, inv = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        llr = self.words(_spelled(buf, starts[at], ends[at]))[inv] if len(starts) else np.zeros(0)
         run = np.concatenate([[0.0], np.cumsum(llr)])
         n = np.diff(ptr)
         out = np.zeros((len(n), 3))
@@ -161,15 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # the smallest hashes: first those under a bound that leaves about twice as many, so that ranking sees no more rows on any table
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    bound = F.coalesce(*[F.when(F.col("toxic") == k, int((1 << 40) * min(1.0, 2 * fit_rows / n))) for k, n in share.items()], F.lit(0).cast("long"))
-    ranked = labels.where(order < bound).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")))
-    chosen = ranked.where(F.col("r") <= fit_rows)
+    chosen = None
+    for k, n in share.items():
+        # the smallest hashes of a class: first those under a bound that leaves about twice as many, so that no task ranks more on any table
+        part = labels.where((F.col("toxic") == k) & (order < int((1 << 40) * min(1.0, 2 * fit_rows / n)))).orderBy(order, "doc_id").limit(fit_rows)
+        chosen = part if chosen is None else chosen.union(part)
+    if len(share) < 2:
+        return Model(np.zeros(0, U), np.zeros(0), np.zeros(4))
+    chosen = chosen.withColumn("r", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)))
     texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
-    # larger samples hold more words that lean to a class by accident
-    least = int(min(60, max(6, sum(min(fit_rows, n) for n in share.values()) // 300)))
-    model = Model.of(_counts(texts.where("r % 4 <> 0")), least)
+    model = Model.of(_counts(texts.where("r <> 0")).toArrow())
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
 
@@ -181,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, len(ids)), *[pa.array(e[:, k]) for k in range(3)]], ["toxic", "a", "b", "c"])
                 lo += len(ids)
 
-    got = texts.where("r % 4 = 0").select("doc_id", "text", "toxic").mapInArrow(run, "toxic int, a double, b double, c double").toArrow()
+    got = texts.where("r = 0").select("doc_id", "text", "toxic").mapInArrow(run, "toxic int, a double, b double, c double").toArrow()
     texts.unpersist()
     y = got.column("toxic").to_numpy().astype(float)
     x = np.stack([got.column(c).to_numpy() for c in "abc"], 1)
