@@ -1,10 +1,14 @@
 """Personal data, by patterns and by information-theoretic sanitisation.
 
 Patterns find the protected entities: addresses, card and telephone numbers.  The corpus then says how strongly the
-words of a text reveal an entity in it: a term discloses an entity if texts hold both in several different contexts of the entity
-(the words near it), if its other texts in the corpus are few (the entity is in at least ``SHARE`` of the term's texts) and the two are
-associated by at least ``BITS`` of pointwise mutual information.  Such terms are marked wherever they stand in a text with that entity, and
-sanitising generalises entities and terms to their kinds.
+words of a text reveal an entity in it.  With n(t), n(e) and n(t, e) the numbers of different texts that hold a term, an entity and both, and N that of all
+texts, a term discloses an entity if
+
+    n(t, e) >= SHARE * n(t)    and    log2(n(t, e) * N / (n(t) * n(e))) >= BITS
+
+and if chance is ruled out: a word must meet the entity in ``CONTEXTS`` texts and different contexts (the words near the entity; those that share a band of
+minimal hashes are near copies, and count as one), as any rare word meets one text's entity once; an identifier, of ``IDENTIFIER`` characters or more with a digit among them, says by itself whose it is, and once is enough.
+Such terms are marked wherever they stand in a text with that entity, and sanitising generalises entities and terms to their kinds.
 
 Counts cover all texts.  Only words of texts whose entities have enough contexts and counts of candidate terms are shuffled; the texts are not.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, release, stored, text_chunks
+from .components import components
 from .membership import build, maybe
-from .words import ALNUM, U, bounds, hashes
+from .words import ALNUM, U, bounds, hashes, mix
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that make its context, different contexts, share of a term's occurrences, and bits of mutual information.
+#: Words on each side of an entity that make its context, different contexts, share of a term's texts, and bits of mutual information.
 NEAR, CONTEXTS, SHARE, BITS = 6, 3, 0.5, 8.0
-#: Characters in which the context of an entity is looked for.
-_REACH = 200
+#: Bands of a context, and minimal hashes in each.
+BANDS, HASHES = 4, 2
+#: Characters of an identifier, at least.
+IDENTIFIER = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -110,26 +118,6 @@ def _term_hashes(words: list[str]) -> np.ndarray:
     return hashes(np.frombuffer(b"".join(parts), np.uint8), starts, ends).view(np.int64)
 
 
-def _named(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
-    """The entities of a text, each with the words near it as its context."""
-    every = sorted(s for k in KINDS for s in spans[k])
-    out = []
-    for k in KINDS:
-        for a, b in spans[k]:
-            lo = max(0, a - _REACH)
-            before = [(m[0], lo + m.start(), lo + m.end()) for m in _WORD.finditer(_fold(text[lo:a]))]
-            if before and lo and before[0][1] == lo:
-                before = before[1:]  # may be cut
-            part = _fold(text[b : b + _REACH])
-            after = [(m[0], b + m.start(), b + m.end()) for m in _WORD.finditer(part)]
-            if after and b + len(part) < len(text) and after[-1][2] == b + len(part):
-                after = after[:-1]
-            words = before[-NEAR:] + after[:NEAR]
-            words = [w for w in words if not any(x < w[2] and w[1] < y for x, y in every)]
-            out.append({"entity": _h(k + ":" + _fold(text[a:b])), "context": _h(" ".join(w[0] for w in words))})
-    return out
-
-
 def _terms(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """All words of a text that no entity overlaps."""
     every = sorted(s for k in KINDS for s in spans[k])
@@ -143,8 +131,33 @@ def _terms(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str
     return out
 
 
-_NAMED_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
-_FOUND = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, named array<struct<entity:long,context:long>>"
+_SALTS = mix(np.arange(1, BANDS * HASHES + 1, dtype=U) * U(0xD6E8FEB86659FD93))[:, None]
+
+
+def _bands(words: list[str]) -> list[int]:
+    """Of a context's words: contexts with nearly the same words share one at least, others hardly."""
+    if not words:
+        return [0] * BANDS
+    least = mix(_term_hashes(words).view(U)[None, :] ^ _SALTS).min(1).reshape(BANDS, HASHES)
+    return mix(least[:, 0] * U(0x9E3779B97F4A7C15) + least[:, 1]).view(np.int64).tolist()
+
+
+def _named(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
+    """The entities of a text, each with the NEAR words before and after it as its context; words that an entity overlaps are no words."""
+    words = _terms(text, spans)
+    starts, ends = [w[1] for w in words], [w[2] for w in words]
+    out = []
+    for k in KINDS:
+        for a, b in spans[k]:
+            before, after = bisect_right(ends, a), bisect_left(starts, b)
+            near = words[max(0, before - NEAR) : before] + words[after : after + NEAR]
+            near = [w[0] for w in near]
+            out.append({"entity": _h(k + ":" + _fold(text[a:b])), "context": _h(" ".join(near)), "bands": _bands(near)})
+    return out
+
+
+_NAMED_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+_FOUND = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, named array<struct<entity:long,context:long,bands:array<long>>>"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,38 +215,66 @@ def _term_counts(keyed: DataFrame, candidates: DataFrame, copied: DataFrame) ->
     return each.groupBy("term").agg(F.sum(F.col("texts") + F.col("copied")).alias("texts"))
 
 
-def _words_in(keyed: DataFrame, texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(k1, k2, term) of the words in ``texts``, or (k1, k2, term, start, end) of all places of ``terms`` in them; wrong ones pass rarely, for joins to take away."""
+def _identifier(word: str) -> bool:
+    return len(word) >= IDENTIFIER and _DIGIT.search(word) is not None
+
+
+def _words_in(keyed: DataFrame, texts: DataFrame, *, whole: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, term, own, start, end) of words in ``texts``; wrong ones pass rarely, for joins to take away.
+
+    With ``terms``: all places of those.  Otherwise one place of each word of the texts in ``whole``, and of each identifier (``own``) of the others.
+    """
     context = keyed.sparkSession.sparkContext
     inside = context.broadcast(build(texts.select("k1").distinct()))
-    known = context.broadcast(build(terms.select("term").distinct())) if terms is not None else None
+    known = context.broadcast(build((whole.select("k1") if terms is None else terms.select("term")).distinct()))
+    some = terms is not None
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(maybe(inside.value, batch.column(1).to_numpy())))
-            for t, k1, k2 in zip(*(c.to_pylist() for c in batch.columns)):
+            if not batch.num_rows:
+                continue
+            every = maybe(known.value, batch.column(1).to_numpy())
+            for t, k1, k2, all_ in zip(*(c.to_pylist() for c in batch.columns), every.tolist()):
                 words = _terms(t, base_spans(t))
+                if not some and not all_:
+                    words = [w for w in words if _identifier(w[0])]
                 if not words:
                     continue
-                h, start, end = _term_hashes([w[0] for w in words]), np.array([w[1] for w in words]), np.array([w[2] for w in words])
-                at = np.unique(h, return_index=True)[1] if known is None else np.flatnonzero(maybe(known.value, h.view(U)))
-                cols = [np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), h[at], start[at], end[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "term", "start", "end"])
+                h = _term_hashes([w[0] for w in words])
+                at = np.flatnonzero(maybe(known.value, h.view(U))) if some else np.unique(h, return_index=True)[1]
+                pick = [words[i] for i in at.tolist()]
+                cols = [np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), h[at], np.array([_identifier(w[0]) for w in pick], bool), np.array([w[1] for w in pick], np.int64), np.array([w[2] for w in pick], np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "term", "own", "start", "end"])
         release()
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, term long, start long, end long")
+    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, term long, own boolean, start long, end long")
+
+
+def _different(named: DataFrame) -> DataFrame:
+    """``named`` with near copies of a context of an entity under one context."""
+    often = named.groupBy("entity").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= CONTEXTS).select("entity")
+    node = F.xxhash64("entity", "context")
+    every = stored(named.join(often, "entity", "left_semi").select("entity", "context", "bands").distinct().withColumn("node", node))
+    banded = every.select("entity", "node", F.posexplode("bands").alias("i", "band"))
+    least = banded.groupBy("entity", "i", "band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    label = components(banded.join(least, ["entity", "i", "band"]).select(F.col("node").alias("a"), "b"))
+    one = every.join(label, "node").select("entity", "context", "component")
+    return named.join(one, ["entity", "context"], "left").select("k1", "k2", "entity", F.coalesce("component", node).alias("context")).distinct()
 
 
 def _disclosing(keyed: DataFrame, named: DataFrame) -> DataFrame:
     """(entity, term) of the terms that disclose an entity.  Copies of a text count once on every side."""
-    # a term has no more contexts than its entity
-    entities = stored(named.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("k1", "k2").alias("named")).where(F.col("contexts") >= CONTEXTS))
-    hot = stored(named.join(entities.select("entity"), "entity"))
-    words = stored(_words_in(keyed, hot).select("k1", "k2", "term").distinct())
-    each = hot.join(words, ["k1", "k2"])
-    contexts = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    named = stored(_different(named))
+    entities = stored(named.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("k1", "k2").alias("named")))
+    # a word has no more contexts than its entity
+    often = stored(named.join(entities.where(F.col("contexts") >= CONTEXTS).select("entity"), "entity", "left_semi").select("k1").distinct())
+    words = stored(_words_in(keyed, named, whole=often).select("k1", "k2", "term", "own").distinct())
+    each = named.join(words, ["k1", "k2"])
+    contexts = each.select("entity", "term", "own", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.max("own").alias("own"))
+    contexts = contexts.where(F.col("own") | (F.col("contexts") >= CONTEXTS))
     both = each.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = stored(contexts.join(both, ["entity", "term"]).select("entity", "term", "both"))
+    pairs = stored(contexts.join(both, ["entity", "term"]).where(F.col("own") | (F.col("both") >= CONTEXTS)).select("entity", "term", "both"))
     texts = stored(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")))
     total = texts.count()
     seen = pairs.join(_term_counts(keyed, pairs, texts.where("n > 1")), "term").join(entities, "entity")
@@ -252,8 +293,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     found = stored(keyed.mapInArrow(_scan, _FOUND))
     named = stored(found.where(F.size("named") > 0).select("k1", "k2", F.explode("named").alias("x")).select("k1", "k2", "x.*").distinct())
     flagged = stored(_disclosing(keyed, named))
-    marked = stored(named.join(flagged, "entity").select("k1", "k2", "term").distinct())
-    places = _words_in(keyed, marked, flagged).distinct().join(marked, ["k1", "k2", "term"])
+    marked = stored(named.select("k1", "k2", "entity").join(flagged, "entity").select("k1", "k2", "term").distinct())
+    places = _words_in(keyed, marked, terms=flagged).select("k1", "k2", "term", "start", "end").distinct().join(marked, ["k1", "k2", "term"])
     more = places.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     more = more.select("k1", "k2", F.array_join(F.transform("more", lambda s: F.concat(F.lit("term:"), s.start.cast("string"), F.lit(":"), s.end.cast("string"))), ",").alias("added"))
     out = found.drop("named").join(more, ["k1", "k2"], "left")

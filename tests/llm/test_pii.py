@@ -1,8 +1,10 @@
 """Patterns against plain regular expressions, disclosing terms, and sanitised texts."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from siltstone.llm import pii as P
 
@@ -82,12 +84,88 @@ def test_copies_of_a_text_hide_nothing(spark):
 def test_terms_far_from_their_entity(spark):
     far = " ".join(f"filler{i % 7}" for i in range(60))
     rows = corpus()
-    rows += [(3000 + i, f"Quuxley {far} a{i} b{i} bob@corp.example.com {far} quuxley") for i in range(4)]
+    near = lambda i, side: " ".join(f"{side}{i}{k}" for k in range(6))  # noqa: E731  # each text has other words beside the entity
+    rows += [(3000 + i, f"Quuxley {far} {near(i, 'a')} bob@corp.example.com {near(i, 'b')} {far} quuxley") for i in range(4)]
     got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     for i, t in rows[-4:]:
         assert {"term:0:7", f"term:{len(t) - 7}:{len(t)}"} <= set(got[i].split(","))
 
 
+def plain_terms(rows):
+    """(entity, term) pairs that disclose, from tables of counts in dictionaries; and the places in each text."""
+    texts = {t or "" for _, t in rows}
+    words, named = {}, {}
+    for t in texts:
+        cut = [(a, b) for _, a, b in brute(t)]
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        words[t] = [(m[0], *m.span()) for m in re.finditer("[0-9a-z\u0080-\U0010ffff]+", low) if not any(a < m.end() and m.start() < b for a, b in cut)]
+        for k, a, b in brute(t):
+            before, after = [w[0] for w in words[t] if w[2] <= a], [w[0] for w in words[t] if w[1] >= b]
+            named.setdefault((k, low[a:b]), []).append((t, tuple(before[-6:] + after[:6])))
+    for e, places in named.items():  # contexts that share a band, directly or through others, are one
+        one = {c: c for _, c in places}
+        for _ in one:
+            for c in one:
+                for d in one:
+                    if set(enumerate(P._bands(list(c)))) & set(enumerate(P._bands(list(d)))):
+                        one[c] = one[d] = min(one[c], one[d])
+            if len(one) < 2:
+                break
+        named[e] = [(t, one[c]) for t, c in places]
+    n_term = Counter(w for t in texts for w in {x[0] for x in words[t]})
+    found = set()
+    for e, places in named.items():
+        mine = {t for t, _ in places}
+        for w in {x[0] for t in mine for x in words[t]}:
+            with_ = [(t, c) for t, c in places if any(x[0] == w for x in words[t])]
+            both = len({t for t, _ in with_})
+            own = len(w) >= 6 and any(c in "0123456789" for c in w)
+            if (own or len({c for _, c in with_}) >= 3 and both >= 3) and both >= 0.5 * n_term[w] and math.log2(both * len(texts) / (n_term[w] * len(mine))) >= 8:
+                found.add((e, w))
+    out = {}
+    for t in texts:
+        here = {w for e, w in found if any(x == t for x, _ in named[e])}
+        out[t] = [f"term:{a}:{b}" for w, a, b in words[t] if w in here]
+    return out
+
+
+def with_terms(spark, rows):
+    want = plain_terms(rows)
+    for r, t in ((r, t) for r in P.find(spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], SCHEMA + ", k int").selectExpr("k as doc_id", "text").repartition(3)).collect() for t in [rows[r.doc_id][1] or ""]):
+        assert r.spans == ",".join([digest(t)] * bool(digest(t)) + want[t]), t
+    return sum(map(len, want.values()))
+
+
+def test_terms_against_plain_counts(spark):
+    rnd = random.Random(12)
+    rows = corpus()
+    people = [(f"p{i}@x{i % 3}.example.org", f"name{'abcdefgh'[i]}") for i in range(8)]
+    for i in range(90):
+        mail, name = rnd.choice(people)
+        parts = [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(40))] + [mail] * rnd.randrange(1, 3) + [name] * rnd.randrange(3) + [rnd.choice(["order-AB12345", "Ref7788990011", "nothing"])] + [f"id{rnd.randrange(9)}{rnd.randrange(10**6)}"]
+        rnd.shuffle(parts)
+        rows.append((5000 + i, rnd.choice([" ", ", "]).join(parts)))
+    rows += [(6000 + i, rows[-1][1]) for i in range(5)]
+    assert with_terms(spark, rows) > 50
+
+
+def test_terms_on_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    assert with_terms(spark, rows) > 0
+
+
+def test_near_copies_disclose_nothing(spark):
+    rnd = random.Random(3)
+    rows = corpus()
+    text = "".join(f"{w} " for w in ["rarest", *(f"strange{'abcdefghij'[i]}" for i in range(10))]) + "bob@corp.example.com " + "".join(f"odd{'abcdefghij'[i]} " for i in range(10))
+    for i in range(60):
+        words = text.split()
+        words[rnd.choice([3, 4, 5, 6, 7, 8, 9, 12, 13, 14])] = f"other{'abcdefghijklmnopqrst'[rnd.randrange(20)]}"
+        rows.append((7000 + i, " ".join(words)))
+    got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all("term:" not in got[7000 + i] for i in range(60)) and "term:" in got[1001]
+
+
 def test_sanitised_texts(spark):
     rows = [(*r, k, "z") for k, r in enumerate(corpus())]
     df = spark.createDataFrame(rows, SCHEMA + ", k1 int, spans string").repartition(3)
