@@ -1,36 +1,50 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  The frequent words and the end of a text are classes of their own,
-other words fall into classes by their last letters.  P(class | history) is a softmax over hashed features of the history: the
-word before, the word before that (a skip), the pair of them, and a bias.  P(word | class)
-comes from smoothed counts, so a text's log-probability is its unigram base score plus what the classes
+P(word | history) = P(class | history) * P(part | class, history) * P(word | class, part).  The frequent words and the end of a text are classes of
+their own, other words fall into classes by their last letters, and the words of such a class into parts by a hash.  Both conditional factors are softmaxes over hashed
+features of the history: the word before, the word before that (a skip), and the pair of them.  P(word | class, part)
+comes from smoothed counts, so a text's log-probability is its unigram base score plus what classes and parts
 gain over their own frequencies: known words share 1 - e, an unknown one has e = 0.1 / (N + 0.1 (V + 1)).
 
-Counts cover all training texts: words are counted on the executors and summed by a shuffle.
-Training: each partition takes gradient steps over its texts from shared weights; the
-partitions' weights are averaged row by row, weighted by how often each has seen the feature, and only rows
-touched are shuffled.  Scoring: head counts are broadcast (``HEAD`` words at most), rarer words are joined.
+Training is synchronous and depends on no layout of the rows.
+
+1. The gradient at zero weights needs only how often each feature meets each class (or part): counts over all training texts, summed in blocks
+   of rows.  The step from there is taken in closed form, a row at a time: w = log((c + A q) / ((n + A) q)), q the class's own share.
+2. Features overlap, so each row's step gets a rate, one for each kind of feature and size of n.  ``ROUNDS`` rounds of distributed gradient
+   (and second derivative) sums train them; round r takes the texts whose id hashes to r, so that each text serves once, and a token's own count is left out.
+
+The tables have as many rows as there are distinct words, up to ``ROWS``, as they are broadcast.  Head counts are broadcast (``HEAD`` words at most), rarer words are joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, text_chunks
+from .common import bounded_batches, release, stored, text_chunks
 from .words import LOWER, NOT_SPACE, U, bounds, hashes, mix
 
-#: Words whose counts are broadcast; classes of frequent words (the end is the first) and of word endings; rows of weights for hashed features.
-HEAD, FREQUENT, ENDINGS, ROWS = 1 << 17, 16, 16, 1 << 15
+#: Words whose counts are broadcast; classes of frequent words (the end is the first) and of word endings; parts of each of the latter.
+HEAD, FREQUENT, ENDINGS, PARTS = 1 << 17, 16, 16, 32
 CLASSES = FREQUENT + ENDINGS
+#: Rows of each of the two tables of weights: at most, at least, and in a block that is summed together.
+ROWS, FEWEST, TOGETHER = 1 << 18, 1 << 12, 256
+#: Kinds of features, sizes of n (powers of two) with a rate of their own, weight of the prior A, rounds of the rates, and how much of a Newton step each takes.
+KINDS, SIZES, PRIOR, ROUNDS, STEP = 3, 12, 10.0, 4, 0.7
+#: Tokens that a pass looks at together.
+TOKENS = 1 << 16
 END = np.uint64(0x0E0D_0F7E_1700_0001)
-#: Tokens of a gradient step, and its rate.
-STEP, RATE = 1 << 17, 0.35
 
 _LAST = (mix(np.arange(65536, dtype=U)) % U(ENDINGS)).astype(np.int64)
+_SALTS = (U(0x51ED270B), U(0xB5297A4D), U(0x68E31DA4))
+
+
+def _part(h: np.ndarray) -> np.ndarray:
+    return (mix(h ^ U(0x1B56C4E9)) % U(PARTS)).astype(np.int64)
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +62,7 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _counts(train: DataFrame) -> DataFrame:
-    """(w, k, c): each distinct training token, its ending class, its count."""
+    """(w, k, s, c): each distinct training token, its ending class, its part of that class, its count."""
 
     def run(batches):
         have: list[tuple] = []
@@ -63,7 +77,7 @@ def _counts(train: DataFrame) -> DataFrame:
             u, k, c = merged()
             for lo in range(0, len(u), 1 << 17):
                 s = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(u[s].view(np.int64)), pa.array(k[s].astype(np.int32)), pa.array(c[s])], ["w", "k", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[s].view(np.int64)), pa.array(k[s].astype(np.int32)), pa.array(_part(u[s]).astype(np.int32)), pa.array(c[s])], ["w", "k", "s", "c"])
 
         for _, buf, offs in text_chunks(batches):
             h, k, _ = _tokens(buf, offs)
@@ -79,17 +93,61 @@ def _counts(train: DataFrame) -> DataFrame:
         if have:
             yield from out()
 
-    got = train.mapInArrow(run, "w long, k int, c long")
-    return got.groupBy("w").agg(F.first("k").alias("k"), F.sum("c").alias("c"))
+    got = train.mapInArrow(run, "w long, k int, s int, c long")
+    return got.groupBy("w").agg(F.first("k").alias("k"), F.first("s").alias("s"), F.sum("c").alias("c"))
+
+
+class Table:
+    """One factor's weights: rows of features, a column for each of its outcomes."""
+
+    def __init__(self, weights: np.ndarray, n: np.ndarray):
+        self.weights, self.n = weights, n
+        self.size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), SIZES - 1)
+        self.rates = np.full((KINDS, SIZES), 1 / KINDS, np.float32)
+
+    def log_p(self, prior: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Log-probabilities of the outcomes, by their log-shares ``prior`` and the tokens' features."""
+        z = prior.copy()
+        for f, r in enumerate(rows):
+            z += self.weights[r].astype(np.float32) * self.rates[f, self.size[r]][:, None]
+        return _normal(z)
+
+    def gradient(self, prior: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and (negative) second derivatives by the rates of the log-likelihood of ``y``, each token's own count left out."""
+        at, q = np.arange(len(y)), np.exp(prior[np.arange(len(y)), y])
+        z, each = prior.copy(), []
+        for f, r in enumerate(rows):
+            w, n = self.weights[r].astype(np.float32), self.n[r]
+            smoothed = np.exp(w[at, y]) * (n + PRIOR) * q  # c + A q
+            w[at, y] += np.log(np.maximum(smoothed - 1, PRIOR * q) / np.maximum(smoothed, PRIOR * q))
+            size = np.minimum(np.log2(np.maximum(n - 1, 1)).astype(np.int64), SIZES - 1)
+            z += w * self.rates[f, size][:, None]
+            each.append((w, size))
+        p = np.exp(_normal(z))
+        first, second = np.zeros((KINDS, SIZES)), np.zeros((KINDS, SIZES))
+        for f, (w, size) in enumerate(each):
+            mean = (p * w).sum(1)
+            first[f] = np.bincount(size, w[at, y] - mean, SIZES)
+            second[f] = np.bincount(size, (p * w * w).sum(1) - mean * mean, SIZES)
+        return first, second
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
 
 class Model:
-    """Frequent words as classes, class shares, and the weights of hashed features."""
+    """Frequent words as classes, the shares of classes and parts, and the two tables."""
 
-    def __init__(self, words: np.ndarray, share: np.ndarray):
-        self.words, self.order = np.sort(words), np.argsort(words)
-        self.log_share = np.log(np.maximum(share, 1e-300)).astype(np.float32)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+    def __init__(self, words: np.ndarray, mass: np.ndarray, rows: int):
+        """``mass``: of each class and part."""
+        self.words, self.order, self.rows = np.sort(words), np.argsort(words), rows
+        share = mass.sum(1)
+        self.log_class = np.log(share / share.sum()).astype(np.float32)
+        self.log_part = np.log(mass / share[:, None]).astype(np.float32)
+        self.tables: list[Table] = []
 
     def classes(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
         out = k.copy()
@@ -99,75 +157,144 @@ class Model:
             out[hit] = 1 + self.order[i[hit]]
         return out
 
-    @staticmethod
-    def features(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
-        """Rows of the word before, of the one before that, and of both."""
+    def features(self, h: np.ndarray, ptr: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Rows, in the table of classes and in that of parts, of the word before, of the one before that, and of both; ``y`` are the classes.
+
+        The table of parts has rows of its own for each class.  What it says of a frequent word is of no use.
+        """
         one = np.concatenate([np.zeros(1, U), h[:-1]])
         one[ptr[:-1]] = U(1)
         two = np.concatenate([np.zeros(1, U), one[:-1]])
         two[ptr[:-1]] = U(2)
-        part = U(ROWS - 1)
-        return [(mix(x) & part).astype(np.int64) for x in (one ^ U(0x51ED270B), two ^ U(0xB5297A4D), one * U(0x9FB21C651E98DF25) + two)]
+        keys = [mix(x ^ salt) for x, salt in zip((one, two, one * U(0x9FB21C651E98DF25) + two), _SALTS)]
+        each = self.rows // ENDINGS
+        base = np.maximum(y - FREQUENT, 0) * each
+        return [(x & U(self.rows - 1)).astype(np.int64) for x in keys], [base + (x >> U(32) & U(each - 1)).astype(np.int64) for x in keys]
+
+    def shares(self, table: int) -> np.ndarray:
+        """Log-shares of the outcomes, for each row of a table."""
+        return np.broadcast_to(self.log_class, (self.rows, CLASSES)) if table == 0 else np.repeat(self.log_part[FREQUENT:], self.rows // ENDINGS, 0)
 
-    def log_p(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.log_share + self.weights[rows[0]]
-        z += self.weights[rows[1]]
-        z += self.weights[rows[2]]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
 
+def _parts_of(chunks, model: Model):
+    """(ids, h, ptr, classes, parts, rows of classes, rows of parts) of each chunk of texts."""
+    for ids, buf, offs in chunks:
+        h, k, ptr = _tokens(buf, offs)
+        y = model.classes(h, k)
+        yield ids, h, ptr, y, _part(h), *model.features(h, ptr, y)
 
-def _train(train: DataFrame, model: Model) -> Model:
-    """One round of distributed gradient updates."""
+
+def _count_features(train: DataFrame, model: Model) -> None:
+    """The tables after the closed-form step."""
     known = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = known.value
-        w = m.weights.copy()
-        mine = Model.__new__(Model)
-        mine.__dict__.update(m.__dict__, weights=w)
-        seen, squares = np.zeros(ROWS), np.full(ROWS, 1.0, np.float32)
-        for _, buf, offs in text_chunks(batches, 1 << 20):
-            h, k, ptr = _tokens(buf, offs)
-            y, rows = m.classes(h, k), Model.features(h, ptr)
-            for lo in range(0, len(h), STEP):
-                part = [r[lo : lo + STEP] for r in rows]
-                g = np.exp(mine.log_p(part))
-                g[np.arange(len(g)), y[lo : lo + STEP]] -= 1
-                for r in part:
-                    o = np.argsort(r, kind="stable")
-                    s = r[o]
-                    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                    total, at = np.add.reduceat(g[o], first, axis=0), s[first]
-                    seen[at] += np.diff(np.concatenate([first, [len(s)]]))
-                    squares[at] += (total * total).mean(1)
-                    w[at] -= RATE * total / np.sqrt(squares[at])[:, None]
-        at = np.flatnonzero(seen)
-        for lo in range(0, len(at), 1024):
-            a = at[lo : lo + 1024]
-            cols = [pa.array(a.astype(np.int32)), pa.array(seen[a].astype(np.float32)), pa.array([x.tobytes() for x in w[a].astype(np.float16)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "seen", "w"])
-
-    def averaged(key, table):
-        total, n = np.zeros((256, CLASSES)), np.zeros(256)
-        for t in table.to_batches(4096):
-            r = t.column("row").to_numpy() & 255
-            s = t.column("seen").to_numpy().astype(float)
-            x = np.frombuffer(b"".join(t.column("w").to_pylist()), np.float16).reshape(-1, CLASSES).astype(float)
-            np.add.at(total, r, x * s[:, None])
-            np.add.at(n, r, s)
-        at = np.flatnonzero(n)
-        return pa.table([pa.array((key[0].as_py() * 256 + at).astype(np.int32)), pa.array([x.tobytes() for x in (total[at] / n[at][:, None]).astype(np.float32)], pa.binary())], names=["row", "w"])
-
-    got = train.mapInArrow(run, "row int, seen float, w binary").withColumn("block", F.expr("row div 256").cast("int"))
-    rows = got.groupBy("block").applyInArrow(averaged, "row int, w binary").toArrow()  # ROWS rows at most
-    if rows.num_rows:
-        model.weights[rows.column("row").to_numpy()] = np.frombuffer(b"".join(rows.column("w").to_pylist()), np.float32).reshape(-1, CLASSES)
-    return model
-
-
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, rounds: int = 1) -> DataFrame:
+        count = [np.zeros((m.rows, CLASSES), np.int32), np.zeros((m.rows, PARTS), np.int32)]
+        for _, _, _, y, part, *rows in _parts_of(text_chunks(batches, 1 << 20), m):
+            some = np.flatnonzero(y >= FREQUENT)
+            for r in rows[0]:
+                np.add.at(count[0].reshape(-1), r * CLASSES + y, 1)
+            for r in rows[1]:
+                np.add.at(count[1].reshape(-1), r[some] * PARTS + part[some], 1)
+        pack = zstandard.ZstdCompressor(level=1)
+        for t, c in enumerate(count):
+            for lo in range(0, m.rows, TOGETHER):
+                x = c[lo : lo + TOGETHER]
+                if x.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([lo], pa.int32()), pa.array([pack.compress(x.tobytes())], pa.binary())], ["t", "lo", "c"])
+        del count
+        release()
+
+    def summed(key, table):
+        t, lo = (k.as_py() for k in key)
+        m, wide = known.value, CLASSES if t == 0 else PARTS
+        c = np.zeros((TOGETHER, wide), np.int64)
+        for x in table.column("c"):
+            c += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int32).reshape(-1, wide)
+        n = c.sum(1)
+        q = np.exp(m.shares(t)[lo : lo + TOGETHER])
+        w = np.log((c + PRIOR * q) / ((n[:, None] + PRIOR) * q)).astype(np.float16)
+        return pa.table([pa.array([t], pa.int32()), pa.array([lo], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["t", "lo", "n", "w"])
+
+    got = train.mapInArrow(run, "t int, lo int, c binary").groupBy("t", "lo").applyInArrow(summed, "t int, lo int, n binary, w binary")
+    tables = [(np.zeros((model.rows, wide), np.float16), np.zeros(model.rows, np.float32)) for wide in (CLASSES, PARTS)]
+    for r in got.toLocalIterator():  # at most 2 * ROWS / TOGETHER rows, 17 kB each
+        w, n = tables[r.t]
+        n[r.lo : r.lo + TOGETHER] = np.frombuffer(r.n, np.float32)
+        w[r.lo : r.lo + TOGETHER] = np.frombuffer(r.w, np.float16).reshape(TOGETHER, -1)
+    model.tables = [Table(w, n) for w, n in tables]
+
+
+def _train_rates(train: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+    """Rounds of gradient steps on the rates; each sees the texts of one remainder of a hash of the ids."""
+    for k in range(rounds):
+        known = train.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches, known=known):
+            m = known.value
+            total = np.zeros((2, 2, KINDS, SIZES))
+            for _, _, _, y, part, one, two in _parts_of(text_chunks(batches, 1 << 20), m):
+                some = np.flatnonzero(y >= FREQUENT)
+                for lo in range(0, len(y), TOKENS):
+                    s = slice(lo, lo + TOKENS)
+                    prior = np.broadcast_to(m.log_class, (len(y[s]), CLASSES))
+                    total[0] += m.tables[0].gradient(prior, [r[s] for r in one], y[s])
+                for lo in range(0, len(some), TOKENS):
+                    j = some[lo : lo + TOKENS]
+                    total[1] += m.tables[1].gradient(m.log_part[y[j]], [r[j] for r in two], part[j])
+            flat = total.transpose(0, 2, 3, 1).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["i", "a", "b"])
+            release()
+
+        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("doc_id", "text")
+        sums = part.mapInArrow(run, "i int, a double, b double").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()  # a row for each rate
+        for r in sums:
+            t, at = divmod(r.i, KINDS * SIZES)
+            f, size = divmod(at, SIZES)
+            rates = model.tables[t].rates
+            rates[f, size] = np.clip(rates[f, size] + STEP * r.a / (r.b + 1.0), 0.0, 1.5)
+        known.unpersist()
+
+
+def _gains(m: Model, y: np.ndarray, part: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """log10 by which class and part are likelier after their history than by themselves."""
+    gain = np.zeros(len(y))
+    for lo in range(0, len(y), TOKENS):
+        s = slice(lo, lo + TOKENS)
+        z = m.tables[0].log_p(np.broadcast_to(m.log_class, (len(y[s]), CLASSES)), [r[s] for r in one])
+        gain[s] = z[np.arange(len(z)), y[s]] - m.log_class[y[s]]
+    some = np.flatnonzero(y >= FREQUENT)
+    for lo in range(0, len(some), TOKENS):
+        j = some[lo : lo + TOKENS]
+        prior = m.log_part[y[j]]
+        z = m.tables[1].log_p(prior, [r[j] for r in two])
+        at = np.arange(len(j))
+        gain[j] += z[at, part[j]] - prior[at, part[j]]
+    return gain / np.log(10)
+
+
+def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, int, int, np.ndarray, np.ndarray]:
+    """(model, N, V, head words in order of count, their counts) from the training texts (doc_id, text) and their ``counts``."""
+    parts = counts.groupBy("k", "s").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()  # at most CLASSES * PARTS rows
+    n, v = sum(r.c for r in parts), sum(r.types for r in parts)
+    top = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    head, head_k, head_s, head_c = top.column("w").to_numpy().view(U), *(top.column(c).to_numpy() for c in ("k", "s", "c"))
+    words = np.flatnonzero(head != END)[: FREQUENT - 1]
+    mass = np.zeros((CLASSES, PARTS))
+    for r in parts:
+        mass[r.k, r.s] += r.c + 0.1 * r.types
+    for j, i in enumerate(words.tolist()):
+        mass[head_k[i], head_s[i]] -= head_c[i] + 0.1
+        mass[1 + j, head_s[i]] += head_c[i] + 0.1
+    rows = 1 << max(FEWEST.bit_length() - 1, min(ROWS.bit_length() - 1, int(v).bit_length()))
+    model = Model(head[words], np.maximum(mass, 0.1), rows)
+    _count_features(train, model)
+    _train_rates(train, model, rounds)
+    return model, n, v, head, head_c
+
+
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     A row is held out if crc32 of its id as text is divisible by ``held_out``; the rest is learnt from.  Words are [^\\x20\\x09-\\x0D]+ with
@@ -179,23 +306,9 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     ids = F.col(id_col).cast("long")
     out = F.coalesce(F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(held_out)) == 0, F.lit(False))
     docs = docs.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
-    train = docs.where(~F.col("held_out"))
+    train = docs.where(~F.col("held_out")).select("doc_id", "text")
     counts = stored(_counts(train))
-    classes = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()  # at most CLASSES rows
-    n, v = sum(r.c for r in classes), sum(r.types for r in classes)
-    top = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-    head, head_k, head_c = top.column("w").to_numpy().view(U), top.column("k").to_numpy(), top.column("c").to_numpy()
-    words = np.flatnonzero(head != END)[: FREQUENT - 1]
-    mass = np.full(CLASSES, 0.0)
-    for r in classes:
-        mass[r.k] += r.c + 0.1 * r.types
-    for j, i in enumerate(words.tolist()):
-        mass[head_k[i]] -= head_c[i] + 0.1
-        mass[1 + j] += head_c[i] + 0.1
-    mass = np.maximum(mass, 0.1)
-    model = Model(head[words], mass / mass.sum())
-    for _ in range(rounds):
-        model = _train(train.select("doc_id", "text"), model)
+    model, n, v, head, head_c = fit(train, counts, rounds)
     total = n + 0.1 * (v + 1)
     o = np.argsort(head)
     known = spark.sparkContext.broadcast((model, head[o], np.log10((head_c[o] + 0.1) / total)))
@@ -205,15 +318,9 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             lo = 0
-            for ids, buf, offs in text_chunks(iter([batch]), 1 << 20):
-                h, k, ptr = _tokens(buf, offs)
+            for ids, h, ptr, y, part, one, two in _parts_of(text_chunks(iter([batch]), 1 << 20), m):
                 docs_n = len(ids)
-                y, rows = m.classes(h, k), Model.features(h, ptr)
-                gain = np.empty(len(h))
-                for a in range(0, len(h), STEP):
-                    z = m.log_p([r[a : a + STEP] for r in rows])
-                    part = y[a : a + STEP]
-                    gain[a : a + STEP] = (z[np.arange(len(part)), part] - m.log_share[part]) / np.log(10)
+                gain = _gains(m, y, part, one, two)
                 doc = np.repeat(np.arange(docs_n), np.diff(ptr))
                 i = np.minimum(np.searchsorted(hw, h), max(0, len(hw) - 1))
                 hit = hw[i] == h if len(hw) else np.zeros(len(h), bool)
