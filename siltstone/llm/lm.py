@@ -35,8 +35,8 @@ CLASSES = FREQUENT + ENDINGS
 ROWS, FEWEST, TOGETHER = 1 << 18, 1 << 12, 256
 #: Kinds of features, sizes of n (powers of two) with a rate of their own, weight of the prior A, rounds of the rates, and how much of a Newton step each takes.
 KINDS, SIZES, PRIOR, ROUNDS, STEP = 3, 12, 10.0, 4, 0.7
-#: Tokens that a pass looks at together.
-TOKENS = 1 << 16
+#: Tokens that a pass looks at together: their rows fit in a cache.
+TOKENS = 1 << 12
 END = np.uint64(0x0E0D_0F7E_1700_0001)
 
 _LAST = (mix(np.arange(65536, dtype=U)) % U(ENDINGS)).astype(np.int64)
@@ -98,46 +98,58 @@ def _counts(train: DataFrame) -> DataFrame:
 
 
 class Table:
-    """One factor's weights: rows of features, a column for each of its outcomes."""
+    """One factor's weights: rows of features, a column for each of its outcomes.  Of every ``each`` rows the kinds of features have a quarter, a quarter and half."""
 
-    def __init__(self, weights: np.ndarray, n: np.ndarray):
+    def __init__(self, weights: np.ndarray, n: np.ndarray, each: int):
         self.weights, self.n = weights, n
         self.size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), SIZES - 1)
+        self.kind = np.minimum(np.arange(len(n)) % each * 4 // each, KINDS - 1)
         self.rates = np.full((KINDS, SIZES), 1 / KINDS, np.float32)
-
-    def log_p(self, prior: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Log-probabilities of the outcomes, by their log-shares ``prior`` and the tokens' features."""
+        self.scaled = False
+
+    def open(self, scaled: bool) -> None:
+        """In a worker, once: half precision travels, single precision is worked with; ``scaled`` by the rates for scoring."""
+        if self.weights.dtype == np.float16:
+            self.weights = self.weights.astype(np.float32)
+        if scaled and not self.scaled:
+            self.weights *= self.rates[self.kind, self.size][:, None]
+            self.scaled = True
+
+    def gains(self, prior: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        """By how much the log-probabilities of the outcomes ``y`` exceed their log-shares: scaled weights only."""
         z = prior.copy()
-        for f, r in enumerate(rows):
-            z += self.weights[r].astype(np.float32) * self.rates[f, self.size[r]][:, None]
-        return _normal(z)
+        part = np.empty_like(z)
+        for r in rows:
+            np.take(self.weights, r, axis=0, out=part, mode="clip")
+            z += part
+        at = np.arange(len(y))
+        own = z[at, y] - prior[at, y]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(1))
 
     def gradient(self, prior: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and (negative) second derivatives by the rates of the log-likelihood of ``y``, each token's own count left out."""
-        at, q = np.arange(len(y)), np.exp(prior[np.arange(len(y)), y])
+        at = np.arange(len(y))
+        q = PRIOR * np.exp(prior[at, y])
         z, each = prior.copy(), []
         for f, r in enumerate(rows):
-            w, n = self.weights[r].astype(np.float32), self.n[r]
-            smoothed = np.exp(w[at, y]) * (n + PRIOR) * q  # c + A q
-            w[at, y] += np.log(np.maximum(smoothed - 1, PRIOR * q) / np.maximum(smoothed, PRIOR * q))
+            w, n = self.weights[r], self.n[r]
+            smoothed = np.maximum(np.exp(w[at, y]) * (n + PRIOR) * (q / PRIOR), q)  # c + A q
+            w[at, y] += np.log(np.maximum(smoothed - 1, q) / smoothed)
             size = np.minimum(np.log2(np.maximum(n - 1, 1)).astype(np.int64), SIZES - 1)
             z += w * self.rates[f, size][:, None]
             each.append((w, size))
-        p = np.exp(_normal(z))
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
         first, second = np.zeros((KINDS, SIZES)), np.zeros((KINDS, SIZES))
         for f, (w, size) in enumerate(each):
-            mean = (p * w).sum(1)
+            pw = z * w
+            mean = pw.sum(1)
             first[f] = np.bincount(size, w[at, y] - mean, SIZES)
-            second[f] = np.bincount(size, (p * w * w).sum(1) - mean * mean, SIZES)
+            second[f] = np.bincount(size, np.einsum("ij,ij->i", pw, w) - mean * mean, SIZES)
         return first, second
 
 
-def _normal(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
 class Model:
     """Frequent words as classes, the shares of classes and parts, and the two tables."""
 
@@ -167,9 +179,17 @@ class Model:
         two = np.concatenate([np.zeros(1, U), one[:-1]])
         two[ptr[:-1]] = U(2)
         keys = [mix(x ^ salt) for x, salt in zip((one, two, one * U(0x9FB21C651E98DF25) + two), _SALTS)]
+
+        def placed(keys: list[np.ndarray], each: int) -> list[np.ndarray]:
+            return [lo + (x & U(n - 1)).astype(np.int64) for x, lo, n in zip(keys, (0, each // 4, each // 2), (each // 4, each // 4, each // 2))]
+
         each = self.rows // ENDINGS
         base = np.maximum(y - FREQUENT, 0) * each
-        return [(x & U(self.rows - 1)).astype(np.int64) for x in keys], [base + (x >> U(32) & U(each - 1)).astype(np.int64) for x in keys]
+        return placed(keys, self.rows), [base + x for x in placed([x >> U(32) for x in keys], each)]
+
+    def open(self, scaled: bool) -> None:
+        for t in self.tables:
+            t.open(scaled)
 
     def shares(self, table: int) -> np.ndarray:
         """Log-shares of the outcomes, for each row of a table."""
@@ -193,10 +213,11 @@ def _count_features(train: DataFrame, model: Model) -> None:
         count = [np.zeros((m.rows, CLASSES), np.int32), np.zeros((m.rows, PARTS), np.int32)]
         for _, _, _, y, part, *rows in _parts_of(text_chunks(batches, 1 << 20), m):
             some = np.flatnonzero(y >= FREQUENT)
+            ones = np.ones(len(y), np.int32)  # of the tables' own type, which numpy adds without a detour
             for r in rows[0]:
-                np.add.at(count[0].reshape(-1), r * CLASSES + y, 1)
+                np.add.at(count[0].reshape(-1), r * CLASSES + y, ones)
             for r in rows[1]:
-                np.add.at(count[1].reshape(-1), r[some] * PARTS + part[some], 1)
+                np.add.at(count[1].reshape(-1), r[some] * PARTS + part[some], ones[: len(some)])
         pack = zstandard.ZstdCompressor(level=1)
         for t, c in enumerate(count):
             for lo in range(0, m.rows, TOGETHER):
@@ -223,7 +244,7 @@ def _count_features(train: DataFrame, model: Model) -> None:
         w, n = tables[r.t]
         n[r.lo : r.lo + TOGETHER] = np.frombuffer(r.n, np.float32)
         w[r.lo : r.lo + TOGETHER] = np.frombuffer(r.w, np.float16).reshape(TOGETHER, -1)
-    model.tables = [Table(w, n) for w, n in tables]
+    model.tables = [Table(w, n, each) for (w, n), each in zip(tables, (model.rows, model.rows // ENDINGS))]
 
 
 def _train_rates(train: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
@@ -233,6 +254,7 @@ def _train_rates(train: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
 
         def run(batches, known=known):
             m = known.value
+            m.open(False)
             total = np.zeros((2, 2, KINDS, SIZES))
             for _, _, _, y, part, one, two in _parts_of(text_chunks(batches, 1 << 20), m):
                 some = np.flatnonzero(y >= FREQUENT)
@@ -262,15 +284,11 @@ def _gains(m: Model, y: np.ndarray, part: np.ndarray, one: list[np.ndarray], two
     gain = np.zeros(len(y))
     for lo in range(0, len(y), TOKENS):
         s = slice(lo, lo + TOKENS)
-        z = m.tables[0].log_p(np.broadcast_to(m.log_class, (len(y[s]), CLASSES)), [r[s] for r in one])
-        gain[s] = z[np.arange(len(z)), y[s]] - m.log_class[y[s]]
+        gain[s] = m.tables[0].gains(np.broadcast_to(m.log_class, (len(y[s]), CLASSES)), [r[s] for r in one], y[s])
     some = np.flatnonzero(y >= FREQUENT)
     for lo in range(0, len(some), TOKENS):
         j = some[lo : lo + TOKENS]
-        prior = m.log_part[y[j]]
-        z = m.tables[1].log_p(prior, [r[j] for r in two])
-        at = np.arange(len(j))
-        gain[j] += z[at, part[j]] - prior[at, part[j]]
+        gain[j] += m.tables[1].gains(m.log_part[y[j]], [r[j] for r in two], part[j])
     return gain / np.log(10)
 
 
@@ -315,6 +333,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
 
     def run(batches):
         m, hw, hl = known.value
+        m.open(True)
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             lo = 0
