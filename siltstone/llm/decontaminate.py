@@ -2,9 +2,9 @@
 
 Each batch of training texts is a shard: a suffix array over its words, ordered as deep as a window needs
 (``DEPTH`` words; a text's end sorts first).  Every test suffix is looked up in every shard by binary search; matches are
-verified on 64-bit word hashes, and runs of matches along one diagonal are the longest verbatim matches.
-The texts are read once and never shuffled.  The benchmark goes to the executors in blocks of at most
-``BLOCK_BYTES``; with several blocks a text passes through one search after the other.
+verified on 64-bit word hashes, and runs of matches along one diagonal are the longest verbatim matches, with their places in item and text.
+The texts are never shuffled.  The benchmark goes to the executors in blocks of about
+``BLOCK_BYTES``; with several blocks the texts pass through one search after the other, and are written between two.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_text, narrow, text_chunks
+from .common import bounded_batches, flat_text, narrow, stored, text_chunks
 from .words import ALNUM, U, bounds, hashes
 
 #: Words of a window, and words up to which suffixes are ordered (a multiple of four).
 WINDOW, DEPTH = 10, 12
-#: Bytes of benchmark text that are searched for together.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are searched for together; pairs of a place in an item and one in a text that are followed together.
+BLOCK_BYTES, PAIRS = 4 << 20, 1 << 20
 
 _NONE = hashlib.sha256(b"").hexdigest()
 
@@ -100,30 +100,38 @@ class SuffixArray:
 
 
 class TestSuffixes:
-    """The windows of a block of benchmark items, as search keys and as word hashes."""
+    """The windows of a block of benchmark items: the distinct ones as search keys and word hashes, and where in the items each stands."""
 
     __test__ = False
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str | None], texts: list[str]):
         buf, offs = flat_text(pa.array(texts, pa.large_string()))
         starts, ends, ptr = bounds(buf, offs, ALNUM)
         h = hashes(buf, starts, ends)
         n = np.diff(ptr)
         size = np.minimum(n, WINDOW)
         count = np.where(n > 0, n - size + 1, 0)
-        item = np.repeat(np.arange(len(ids)), count)
-        at = ptr[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-        self.ids, self.item, self.size = ids, item, size[item]
+        self.ids = ids
+        self.item = np.repeat(np.arange(len(ids)), count)
+        self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)
+        at = ptr[:-1][self.item] + self.place
         padded = np.concatenate([h, np.zeros(DEPTH, U)])
         grid = padded[at[:, None] + np.arange(DEPTH)[None, :]]
-        out = np.arange(DEPTH)[None, :] >= self.size[:, None]
-        self.hashes = np.where(out, U(0), grid)[:, :WINDOW]
-        code = _codes(grid)
+        out = np.arange(DEPTH)[None, :] >= size[self.item][:, None]
+        words = np.where(out, U(0), grid)[:, :WINDOW]
+        rows = np.concatenate([words, size[self.item][:, None].astype(U)], 1)
+        _, first, self.same = np.unique(np.ascontiguousarray(rows).view(f"V{8 * (WINDOW + 1)}").ravel(), return_index=True, return_inverse=True) if len(rows) else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.size, self.hashes = size[self.item][first], words[first]
+        # the windows of a kind, together
+        self.of = np.argsort(self.same, kind="stable")
+        self.begin = np.searchsorted(self.same[self.of], np.arange(len(first) + 1))
+        code = _codes(grid[first])
+        out = out[first]
         pack = lambda c: np.stack([(c[:, j] << U(48)) | (c[:, j + 1] << U(32)) | (c[:, j + 2] << U(16)) | c[:, j + 3] for j in range(0, DEPTH, 4)], 1)
         self.low, self.high = pack(np.where(out, U(0), code)), pack(np.where(out, U(0xFFFF), code))
 
     def matches(self, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, word) of every occurrence of a window in a shard, verified on whole hashes."""
+        """(kind of window, word) of every occurrence in a shard, verified on whole hashes; at most one of each size at a word."""
         if not len(h) or not len(self.item):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sa = SuffixArray.build(h, ptr)
@@ -139,9 +147,43 @@ class TestSuffixes:
         good &= pos + self.size[q] <= ends
         return q[good], pos[good]
 
-
-_STATE = "doc_id long, text string, hit binary, items array<string>"
-_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
+    def longest(self, q: np.ndarray, pos: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """(text, item, first word in the item, first word in the text, words) of the longest verbatim matches: those that no word more on either side extends.
+
+        Matches of windows are followed along their diagonals: one begins where the window before, in item and text, does not match, and ends
+        where the next does not.  Windows and places are paired a slice at a time, so a text that repeats itself takes time but no memory.
+        """
+        kind = np.full(int(ptr[-1]) + 2, -1, np.int64)  # the window of full size at a word, if any
+        full = self.size[q] == WINDOW
+        kind[pos[full] + 1] = q[full]
+        n = (self.begin[1:] - self.begin[:-1])[q]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        found: tuple[list, list] = ([], [])
+        lo = 0
+        while lo < len(q):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + PAIRS, "right")) - 1)
+            m = n[lo:hi]
+            p = np.repeat(pos[lo:hi], m)
+            w = self.of[np.repeat(self.begin[q[lo:hi]], m) + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)]
+            whole = self.size[self.same[w]] < WINDOW
+            text = np.searchsorted(ptr, p, "right") - 1
+            before = ~whole & (self.place[w] > 0) & (p > ptr[text]) & (self.same[w - 1] == kind[p])
+            last = len(self.item) - 1
+            after = ~whole & (w < last) & (self.item[np.minimum(w + 1, last)] == self.item[w]) & (self.same[np.minimum(w + 1, last)] == kind[p + 2]) & (p + 1 < ptr[text + 1])
+            for side, keep in zip(found, (~before, ~after)):
+                side.append(np.stack([text, self.item[w], p - self.place[w], p, self.place[w], self.size[self.same[w]]], 1)[keep])
+            lo = hi
+        if not found[0]:
+            return np.zeros((0, 5), np.int64)
+        begins, ends = (np.concatenate(x) for x in found)
+        begins, ends = (x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))] for x in (begins, ends))
+        return np.stack([begins[:, 0], begins[:, 1], begins[:, 4], begins[:, 3] - ptr[begins[:, 0]], ends[:, 3] + ends[:, 5] - begins[:, 3]], 1)
+
+
+_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
+_MATCHES = "array<struct<item_id:string,item_start:long,start:long,length:long>>"
+_STATE = f"doc_id long, text string, hit binary, matches {_MATCHES}"
+_OUT = f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>, matches {_MATCHES}"
 
 
 def _search(block, last: bool):
@@ -160,38 +202,37 @@ def _search(block, last: bool):
                 np.add.at(edge, pos, 1)
                 np.add.at(edge, pos + tests.size[q], -1)
                 hit = np.cumsum(edge)[:-1] > 0
-                doc = np.searchsorted(ptr, pos, "right") - 1
-                found: dict[int, set[str]] = {}
-                pair = np.unique(np.stack([doc, tests.item[q]], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                for d, i in pair.tolist():
-                    found.setdefault(d, set()).add(tests.ids[i])
+                matches: list[list[dict]] = [[] for _ in range(n)]
+                for d, i, a, b, k in tests.longest(q, pos, ptr).tolist():
+                    matches[d].append({"item_id": tests.ids[i], "item_start": a, "start": b, "length": k})
                 if "hit" in batch.schema.names:
-                    for d, (bits, items) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist())):
-                        if items:
-                            found.setdefault(d, set()).update(items)
+                    for d, (bits, more) in enumerate(zip(part.column("hit").to_pylist(), part.column("matches").to_pylist())):
+                        if more:
+                            matches[d] = more + matches[d]
                             hit[ptr[d] : ptr[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(ptr[d + 1] - ptr[d])).astype(bool)
-                items = [sorted(found[d]) if d in found else [] for d in range(n)]
                 if not last:
-                    bits = [np.packbits(hit[ptr[d] : ptr[d + 1]]).tobytes() if d in found else None for d in range(n)]
-                    yield pa.RecordBatch.from_arrays([ids, part.column(1), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
+                    bits = [np.packbits(hit[ptr[d] : ptr[d + 1]]).tobytes() if matches[d] else None for d in range(n)]
+                    yield pa.RecordBatch.from_arrays([ids, part.column(1), pa.array(bits, pa.binary()), pa.array(matches, _MATCH)], ["doc_id", "text", "hit", "matches"])
                     continue
                 n_hit = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = n_hit[ptr[1:]] - n_hit[ptr[:-1]]
+                items = [sorted({m["item_id"] for m in x if m["item_id"] is not None}) for x in matches]
                 sha = [hashlib.sha256(",".join(i).encode()).hexdigest() if i else _NONE for i in items]
                 spans = [[] for _ in range(n)]
-                for d in found:
+                for d in np.flatnonzero(n_hit).tolist():
                     x = np.diff(np.concatenate([[0], hit[ptr[d] : ptr[d + 1]].astype(np.int8), [0]]))
                     spans[d] = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist())]
                 cols = [ids, pa.array(np.diff(ptr).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0)]
-                cols += [pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+                cols += [pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(matches, _MATCH)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "matches"])
 
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (of words, end exclusive).
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (of words, end exclusive), matches.
 
+    matches are the longest verbatim matches with an item, (item_id, item_start, start, length) in words: those of a window or more that no further word extends.
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z folded; a window is 10 consecutive words of an item, or
     all words of a shorter one.  A word inside an occurrence of a window is hit.  Null texts and items have no words; an
     item without words occurs nowhere; equal items are all reported; an item with a null id only marks words.
@@ -202,6 +243,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     state = narrow(docs, id_col, text_col)
     for last, tests in _blocks(spark, benchmark, item_col, item_text_col):
         state = state.mapInArrow(_search(tests, last), _OUT if last else _STATE)
+        if not last:
+            state = stored(state)  # one Python worker a task, and one block in it, however large the benchmark
     return state
 
 
@@ -210,8 +253,11 @@ def _blocks(spark, benchmark: DataFrame, item_col: str, item_text_col: str):
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(total) // BLOCK_BYTES
+    if blocks > 1:  # in files by block, so that each block reads its own
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+        items = stored(dealt.repartitionByRange(blocks, "block").sortWithinPartitions("block"))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        rows = (items.where(F.col("block") == k) if blocks > 1 else items).select("item_id", "text").collect()  # about BLOCK_BYTES
         yield k == blocks - 1, spark.sparkContext.broadcast(TestSuffixes([r.item_id for r in rows], [r.text for r in rows]))
 
 
@@ -239,6 +285,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
         return run
 
-    for _, tests in _blocks(docs.sparkSession, benchmark, item_col, item_text_col):
+    for last, tests in _blocks(docs.sparkSession, benchmark, item_col, item_text_col):
         docs = docs.mapInArrow(keep(tests), docs.schema)
+        docs = docs if last else stored(docs)
     return docs
