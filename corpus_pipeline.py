@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay; rows that repeat one id are one document and stay as they are.
     """
     ship(spark)
-    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"  # no column of docs is called so
+    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
