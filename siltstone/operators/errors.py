@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class RunError(Exception):
     def __init__(self, code: str, message: str):
@@ -32,9 +34,16 @@ def extern_arity(pred: str, expected: int, got: int) -> RunError:
     return RunError("DL0908", f"extern relation `{pred}` has rows of arity {got}, expected {expected}")
 
 
+def marked(e: RunError) -> str:
+    """The error as a text that can be found again in an exception of Spark's."""
+    return f"<{e.code}>{e.message}</>"
+
+
 def from_spark(e: Exception) -> RunError | None:
-    """Backstop: Spark's own arithmetic errors."""
+    """What a guard in a plan has raised; as a backstop, Spark's own arithmetic errors."""
     text = str(e)
+    if m := re.search(r"<(DL09\d\d)>([^<]*)</>", text):
+        return RunError(m[1], m[2])
     if "DIVIDE_BY_ZERO" in text:
         return division()
     if "ARITHMETIC_OVERFLOW" in text or "CAST_OVERFLOW" in text or "NUMERIC_VALUE_OUT_OF_RANGE" in text:

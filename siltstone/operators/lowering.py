@@ -2,7 +2,7 @@
 
 A frame is a set of variable bindings: a DataFrame with a column ``v_X`` for each bound variable X, or no DataFrame for the one empty
 binding.  A goal turns a frame into frames (a disjunction into several, whose variables may differ).  Everything
-stays lazy but the checks that must be able to end a run: arithmetic, cardinality, and sizes of top-k.
+stays lazy but the checks of cardinality.  Errors of arithmetic and sizes of top-k are guarded in the plan itself (``Lowering.guarded``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ..syntax import ast as A
 from . import errors
 
 I64_MIN = -(1 << 63)
+#: Parts of a group whose best rows are found apart.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,8 @@ class Context:
     hops: Callable[[], DataFrame] | None = None
     note: Callable[[str], None] = lambda text: None
     serial: int = 0
+    #: None: checks run at once, before what they guard; otherwise guards are part of plans, and what they look at is kept here.
+    checks: list[DataFrame] | None = None
 
     def fresh(self) -> str:
         self.serial += 1
@@ -101,6 +105,19 @@ class Lowering:
             for i, x in enumerate(t.items):
                 self.pattern(x, F.get(col, i), ty.arg, bound, new, keys, tests)
 
+    def guarded(self, df: DataFrame, found: Column) -> DataFrame:
+        """``df``, whose evaluation fails if ``found`` (a marked error, or null) is not null in a row.
+
+        The guard does not count as deterministic, so that no later filter is pushed below it and hides the row.
+        """
+        if self.c.checks is None:
+            bad = df.select(found.alias("e")).where("e is not null").limit(1).collect()
+            if bad:
+                raise errors.from_spark(Exception(bad[0].e))
+            return df
+        self.c.checks.append(df.select(found.alias("e")).where("e is not null"))
+        return df.where(F.when(found.isNotNull() & (F.rand(0) >= 0), F.raise_error(found).cast("boolean")).otherwise(F.lit(True)))
+
     def bind(self, f: Frame, t: A.Term, col: Column, ty: A.Ty) -> Frame:
         """Unifies a term with a column computed from the frame."""
         new: dict[str, Column] = {}
@@ -296,28 +313,27 @@ class Lowering:
     def expression(self, e: A.Expr) -> tuple[Column, Column]:
         """(value, error code) of checked arithmetic; the value is null where there is an error."""
         none = F.lit(None).cast("string")
+        overflow, division = errors.marked(errors.overflow()), errors.marked(errors.division())
         if e.op == "term":
             return self.value(e.a, A.INT), none
         a, err = self.expression(e.a)
         if e.op == "neg":
-            return F.when(a != I64_MIN, F.try_subtract(F.lit(0).cast("long"), a)), F.coalesce(err, F.when(a == I64_MIN, "DL0902"))
+            return F.when(a != I64_MIN, F.try_subtract(F.lit(0).cast("long"), a)), F.coalesce(err, F.when(a == I64_MIN, overflow))
         b, err2 = self.expression(e.b)
         err = F.coalesce(err, err2)
         if e.op == "/":
             zero, over = b == 0, (a == I64_MIN) & (b == -1)
             safe = F.when(zero | over, None).otherwise(b).cast("long")
             whole = F.call_function("div", a, safe)
-            return F.when(safe.isNotNull(), whole), F.coalesce(err, F.when(zero, "DL0901"), F.when(over, "DL0902"))
+            return F.when(safe.isNotNull(), whole), F.coalesce(err, F.when(zero, division), F.when(over, overflow))
         out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a, b)
-        return out, F.coalesce(err, F.when(a.isNotNull() & b.isNotNull() & out.isNull(), "DL0902"))
+        return out, F.coalesce(err, F.when(a.isNotNull() & b.isNotNull() & out.isNull(), overflow))
 
     def assign(self, f: Frame, g: A.Assign) -> Frame:
         v, err = self.expression(g.expr)
         base = f.df if f.df is not None else self.c.unit()
         if g.expr.op != "term":
-            bad = base.select(err.alias("e")).where("e is not null").limit(1).collect()
-            if bad:
-                raise errors.division() if bad[0].e == "DL0901" else errors.overflow()
+            base = self.guarded(base, err)
         return self.bind(Frame(base, f.vars), A.Var(g.var), v, A.INT)
 
     # aggregates and selection
@@ -365,8 +381,7 @@ class Lowering:
             got = rows.groupBy(*by).agg(n.alias("n")) if by else rows.agg(n.alias("n"))
             if g.fn == "sum":
                 wide = (F.col("n") > (1 << 63) - 1) | (F.col("n") < I64_MIN)
-                if not got.where(wide).limit(1).isEmpty():
-                    raise errors.overflow()
+                got = self.guarded(got, F.when(wide, errors.marked(errors.overflow())))
             if by:
                 tag = self.c.fresh()
                 got = got.select(*[F.col(c).alias(f"{tag}_{c}") for c in by], "n")
@@ -389,9 +404,9 @@ class Lowering:
         if fixed and g.k.value <= 0:
             raise errors.mismatch(f"choose_topk `{g.tag}` needs a positive number of rows, got {g.k.value}")
         if not fixed:
-            bad = f.df.select(self.value(g.k, A.INT).alias("k")).where("k is null or k <= 0").limit(1).collect()
-            if bad:
-                raise errors.mismatch(f"choose_topk `{g.tag}` needs a positive number of rows, got {bad[0].k}")
+            k = self.value(g.k, A.INT)
+            head, tail = errors.marked(errors.mismatch(f"choose_topk `{g.tag}` needs a positive number of rows, got |")).split("|")
+            f = Frame(self.guarded(f.df, F.when(k.isNull() | (k <= 0), F.concat(F.lit(head), F.coalesce(k.cast("string"), F.lit("None")), F.lit(tail)))), f.vars)
         captured, _, frames = self.inner(f, g.goals, A.term_vars(g.k))
         by = [f"v_{v}" for v in captured]
         frames = [x for x in frames if {g.score, g.item} <= set(x.vars)]
@@ -402,9 +417,16 @@ class Lowering:
         h, key = self.keyed(Frame(rows, ()), F.col("i"), ty)
         if opaque(ty, self.c.enums) and nullable(ty):
             key = F.struct(F.col("i").isNotNull().alias("has"), key.alias("key"))
-        w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("s"), F.asc("__key"), F.asc("s"))
-        k = F.lit(g.k.value) if fixed else self.value(g.k, A.INT)
-        rows = h.df.withColumn("__key", key).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+        rows, order = h.df.withColumn("__key", key), [F.desc("s"), F.asc("__key")]
+        if not by:  # a size that is no constant is captured, so this one is
+            rows = rows.orderBy(*order).limit(g.k.value)
+        elif fixed:
+            rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= g.k.value)
+        else:
+            # sizes that are no constants cut no group before the shuffle; first the best of each of SALTS parts, so that no group meets in one task
+            k = self.value(g.k, A.INT)
+            for part in ([*by, "__part"], by):
+                rows = rows.withColumn("__part", F.pmod(F.xxhash64("i"), F.lit(SALTS))).withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("__rn") <= k)
         return self.back(f, captured, rows.select(*by, "s", "i"), {g.score: "s", g.item: "i"}, "inner")
 
     # heads

@@ -64,9 +64,9 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         host = self.host(spark, sf_dir) if self.host else ParquetHost(spark, sf_dir)
         result = Engine(spark, self.compiled(), host).run()
-        if result.status != "ok":
+        if result.known_status != "ok":
             raise RuntimeError(f"{self.out}: {result.notes}")
-        return result[self.out]
+        return result.frame(self.out)  # arithmetic is guarded in the plan: one evaluation
 
 
 def _nation_graph(spark: SparkSession, sf_dir: str) -> Host:

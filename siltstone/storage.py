@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a local folder, if driver and executors are one process, and else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isEmpty():
+        if at is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = at or tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(at)
         found = spark.sparkContext._jsc.sc().getCheckpointDir()

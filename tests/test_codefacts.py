@@ -21,21 +21,22 @@ def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=str)
 
 
-SPANS = [(1, "src/main.rs", 1, 12, 1, 13), (2, "src/main.rs", 1, 0, 1, 40), (3, "src/main.rs", 1, 10, 1, 20), (4, "src/main.rs", 1, 41, 1, 45), (5, "src/main.rs", 0, 0, 200, 1), (6, "src/main.rs", 150, 3, 150, 4)]
+#: A query at line 30, column 6, two nodes around it, a place after them, the whole file, and a place far below.
+SPANS = [(61, "lib/tree.rs", 30, 6, 30, 9), (62, "lib/tree.rs", 28, 2, 33, 1), (63, "lib/tree.rs", 30, 4, 30, 60), (64, "lib/tree.rs", 34, 0, 34, 8), (65, "lib/tree.rs", 0, 0, 900, 0), (66, "lib/tree.rs", 700, 1, 702, 5)]
 
 
 def test_smallest_node_around_a_span(spark):
-    h = host(spark, spans=SPANS, nodes=[(20, "BLOCK", 2, None, "n://o"), (30, "EXPR", 3, 20, "n://i"), (50, "ITEM", 5, None, "n://f")])
+    h = host(spark, spans=SPANS, nodes=[(420, "BLOCK", 62, None, "t:block"), (430, "EXPR", 63, 420, "t:expr"), (450, "ITEM", 65, None, "t:file")])
     at = dict(rows(h.extern("node_at")))
-    assert at[1] == 30 and at[4] == 50 and at[6] == 50 and at[2] == 20
-    assert rows(h.extern("node_kind")) == [(20, "BLOCK"), (30, "OTHER"), (50, "OTHER")]
-    assert rows(h.extern("node_parent")) == [(20, None), (30, 20), (50, None)]
+    assert (at[61], at[62], at[64], at[66]) == (430, 420, 450, 450)
+    assert rows(h.extern("node_kind")) == [(420, "BLOCK"), (430, "OTHER"), (450, "OTHER")]
+    assert rows(h.extern("node_parent")) == [(420, None), (430, 420), (450, None)]
 
 
 def test_node_miss_and_tie(spark):
-    h = host(spark, spans=SPANS[:4], nodes=[(20, "BLOCK", 3, None, "node://b"), (21, "BLOCK", 3, None, "node://a")])
+    h = host(spark, spans=SPANS[:4], nodes=[(8, "BLOCK", 63, None, "zeta"), (3, "TRY", 63, None, "nu"), (5, "BLOCK", 63, None, "omicron")])
     at = dict(rows(h.extern("node_at")))
-    assert at[1] == 21 and at[4] is None
+    assert at[61] == 3 and at[64] is None  # the least key
 
 
 def chain(spark, depth):
@@ -100,7 +101,7 @@ def test_callers_view(spark):
     assert len(kv) == 6 and kv[0][1] == "h:main" and kv[0][-1] == "through_trait" and kv[0][3] == 70002
     order = [r[4] for r in fragments(out["out_def_frag"], p, "out_def_frag").collect()]
     assert order == ["CALLER_FN", "CALLER_FN", "TARGET"]
-    assert "callers_total" in show(out, p, ["out_metric_int"], rows=1) and "omitted 5 row(s)" in show(out, p, ["out_metric_int"], rows=1)
+    assert "callers_total" in show(out, p, ["out_metric_int"], rows=6) and "omitted 5 row(s)" in show(out, p, ["out_metric_int"], rows=1)
 
 
 def test_values_as_text():
