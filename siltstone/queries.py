@@ -14,7 +14,8 @@ from .engine import Engine
 from .plans import Compiled, compile_program
 from .sources.codefacts import CodeFactsHost
 from .sources.hosts import Host, ParquetHost
-from .syntax import parse_program
+from .factqueries import FACT_QUERIES
+from .syntax import load_text
 
 #: Declarations of the star schema's relations; a program gets those that it uses.
 DECLS = {
@@ -49,22 +50,24 @@ class Query:
     program: str
     sql: str | None
     host: Callable[[SparkSession, str], Host] | None = None
+    status: str = "ok"
 
     def source(self) -> str:
         used = {a for a in re.findall(r"\b([a-z_]+)\(", self.program)}
-        head = [f".decl {n}({d}) extern." for n, d in DECLS.items() if n in used]
-        return "\n".join([*head, *(t for n, t in _BUILTINS.items() if n in used and f".decl {n}(" not in self.program), self.program])
+        std = ".include " in self.program  # declares the built-ins, and has names of its own
+        head = [f".decl {n}({d}) extern." for n, d in DECLS.items() if n in used and not std]
+        return "\n".join([*head, *(t for n, t in _BUILTINS.items() if n in used and not std and f".decl {n}(" not in self.program), self.program])
 
     @lru_cache(maxsize=None)
     def compiled(self) -> Compiled:
-        return compile_program(parse_program(self.source()))
+        return compile_program(load_text(self.source()))
 
     __hash__ = object.__hash__
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         host = self.host(spark, sf_dir) if self.host else ParquetHost(spark, sf_dir)
         result = Engine(spark, self.compiled(), host).run()
-        if result.known_status != "ok":
+        if result.known_status != self.status:
             raise RuntimeError(f"{self.out}: {result.notes}")
         return result.frame(self.out)  # arithmetic is guarded in the plan: one evaluation
 
@@ -90,12 +93,12 @@ graph_edge("n", A, B, K, E) :- nation_edge(A, B, K, E).
 
 
 def _code_facts(spark: SparkSession, sf_dir: str) -> Host:
-    """Events as spans of a file for each user; every tenth event is a node, nested by time; parts as definitions."""
+    """Events as spans of a file for each user, each with a node around it, nested in chains; parts as definitions."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("id"), F.col("user_id").cast("long").alias("u"), F.col("event_type").alias("kind"))
     path = F.concat(F.lit("user/"), F.col("u").cast("string"))
     line = F.pmod(F.col("id"), F.lit(50)).cast("long")
     spans = e.select(F.col("id").alias("span"), path.alias("rel_path"), line.alias("l0"), F.pmod("id", F.lit(7)).alias("c0"), (line + F.pmod("id", F.lit(3))).alias("l1"), (F.pmod("id", F.lit(7)) + 9).alias("c1"))
-    nodes = e.where("id % 10 = 0").select((F.col("id") + 1_000_000_000).alias("node"), F.when(F.col("kind") == "click", "IF").otherwise("BLOCK").alias("kind"), F.col("id").alias("span"), F.when(F.pmod("id", F.lit(30)) > 0, F.col("id") - 10 + 1_000_000_000).alias("parent"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("key"))
+    nodes = e.select((F.col("id") + 1_000_000_000).alias("node"), F.when(F.col("kind") == "click", "IF").otherwise("BLOCK").alias("kind"), F.col("id").alias("span"), F.when(F.pmod("id", F.lit(20)) > 0, F.col("id") - 1 + 1_000_000_000).alias("parent"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("key"))
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("def"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     defs = p.select("def", "name", F.lit("FN").alias("kind"), F.lit(None).cast("long").alias("span"), F.concat("brand", F.lit("::"), "name").alias("path"), F.lit(None).cast("long").alias("method_owner"), F.lit(None).cast("long").alias("return_type"), F.lit(None).cast("long").alias("error_type"), F.lit(None).cast("string").alias("handle"))
     return CodeFactsHost(spark, {"spans": spans, "nodes": nodes, "defs": defs})
@@ -103,9 +106,9 @@ def _code_facts(spark: SparkSession, sf_dir: str) -> Host:
 
 _SPANS = "(SELECT event_id AS span, user_id AS f, event_id % 50 AS l0, event_id % 7 AS c0, event_id % 50 + event_id % 3 AS l1, event_id % 7 + 9 AS c1 FROM events)"
 _AT = f"""
-WITH s AS {_SPANS}, n AS (SELECT * FROM s WHERE span % 10 = 0),
+WITH s AS {_SPANS},
 hit AS (SELECT s.span, n.span AS nid, row_number() OVER (PARTITION BY s.span ORDER BY n.l1 - n.l0, CASE WHEN n.l1 = n.l0 THEN n.c1 - n.c0 ELSE 4294967295 END, n.l0, n.c0, n.span) AS r
-  FROM s JOIN n ON s.f = n.f AND (n.l0, n.c0) <= (s.l0, s.c0) AND (s.l1, s.c1) <= (n.l1, n.c1)),
+  FROM s JOIN s n ON s.f = n.f AND (n.l0, n.c0) <= (s.l0, s.c0) AND (s.l1, s.c1) <= (n.l1, n.c1)),
 """
 
 _C = "CAST(round({0} * 100) AS BIGINT)"
@@ -153,11 +156,13 @@ QUERIES: dict[str, Query] = {
     "q40_function": Query("q", ".func nation_name(K: int, N: string).\n.mode nation_name(+int, -string).\nnation_name(K, N) :- nation(K, N, _).\nq(C, N) :- customer(C, _, K, _, _), nation_name(K, N), supplier(_, _, K, _).", "SELECT DISTINCT c_custkey AS c0, n_name AS c1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)"),
     "q41_fragments": Query("out_frag", '.type Mode = { SIG, BLOCK }.\n.decl emit(Section: string, Group: string, Rank: int, D: int).\n.decl out_frag(Section: string, Group: string, Rank: int, Seq: int, Kind: string, Render: Mode, D: int, Anchor: option<int>) output.\nemit("Regions", N, 10, K) :- region(K, N).\nout_frag(S, G, R, 0, "DEF", Mode::SIG, D, none) :- emit(S, G, R, D).\nout_frag("Nations", N, 5, K, "SPAN", Mode::BLOCK, K, some(G)) :- nation(K, N, G).', "SELECT 'Regions' AS section, r_name AS \"group\", CAST(10 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS seq, 'DEF' AS kind, 'SIG' AS render, CAST(r_regionkey AS BIGINT) AS d, CAST(NULL AS BIGINT) AS anchor FROM region UNION SELECT 'Nations', n_name, 5, n_nationkey, 'SPAN', 'BLOCK', n_nationkey, n_regionkey FROM nation"),
     "q42_containment": Query("q", ".decl node_at(S: Span, N: option<Node>) extern.\n.decl span_allowed(S: Span) extern.\nq(S, N) :- span_allowed(S), node_at(S, some(N)).", _AT + "dummy AS (SELECT 1) SELECT span AS c0, nid + 1000000000 AS c1 FROM hit WHERE r = 1", _code_facts),
-    "q43_climb": Query("q", ".type NodeKind = { IF, MATCH, WHILE, FOR, LOOP, BLOCK, TRY, ARM, OTHER }.\n.decl enclosing_control(S: Span, K: NodeKind, C: Span, D: int) extern.\nq(S, K, C, D) :- enclosing_control(S, K, C, D).", _AT.replace("WITH s", "WITH RECURSIVE s") + "up(span, nid, d) AS (SELECT span, nid, 0 FROM hit WHERE r = 1 UNION ALL SELECT up.span, up.nid - 10, up.d + 1 FROM up JOIN events e ON e.event_id = up.nid WHERE e.event_type <> 'click' AND up.nid % 30 > 0 AND up.d < 32) SELECT up.span AS c0, 'IF' AS c1, up.nid AS c2, CAST(up.d AS BIGINT) AS c3 FROM up JOIN events e ON e.event_id = up.nid WHERE e.event_type = 'click'", _code_facts),
+    "q43_climb": Query("q", ".type NodeKind = { IF, MATCH, WHILE, FOR, LOOP, BLOCK, TRY, ARM, OTHER }.\n.decl enclosing_control(S: Span, K: NodeKind, C: Span, D: int) extern.\nq(S, K, C, D) :- enclosing_control(S, K, C, D).", _AT.replace("WITH s", "WITH RECURSIVE s") + "up(span, nid, d) AS (SELECT span, nid, 0 FROM hit WHERE r = 1 UNION ALL SELECT up.span, up.nid - 1, up.d + 1 FROM up JOIN events e ON e.event_id = up.nid WHERE e.event_type <> 'click' AND up.nid % 20 > 0 AND up.d < 32) SELECT up.span AS c0, 'IF' AS c1, up.nid AS c2, CAST(up.d AS BIGINT) AS c3 FROM up JOIN events e ON e.event_id = up.nid WHERE e.event_type = 'click'", _code_facts),
     "q44_search": Query("q", ".decl search(Q: string, D: Def, Score: int) extern.\nq(K, D, S) :- search(K, D, S).", "WITH k AS (SELECT p_partkey AS d, p_name AS n, p_brand || '::' || p_name AS p, unnest(list_concat([p_name, p_brand || '::' || p_name], list_filter(string_split(p_brand || '::' || p_name, '::'), lambda x: x <> ''))) AS k FROM part), twice AS (SELECT d, n, p, k FROM k UNION SELECT d, n, p, lower(k) FROM k) SELECT DISTINCT k AS c0, d AS c1, CAST(CASE WHEN k = n THEN 100 WHEN lower(k) = lower(n) THEN 95 WHEN contains(p, k) THEN 85 ELSE 70 END AS BIGINT) AS c2 FROM twice", _code_facts),
     "q45_top_suppliers": Query("top", 'sells(S, R) :- supplier(S, _, N, _), nation(N, _, R).\nvolume(R, S, N) :- sells(S, R), N = count(O : lineitem(O, _, S, _, _, _, _, _, _, _, _)).\n.decl top(Region: string, Supplier: string, Orders: int) output.\ntop(G, M, N) :- region(R, G), choose_topk("region.suppliers", 8, R, N, S : volume(R, S, N)), supplier(S, M, _, _).', "WITH v AS (SELECT n_regionkey AS r, s_suppkey AS s, count(DISTINCT l_orderkey) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY n_regionkey, s_suppkey), t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, s) AS k FROM v) SELECT r_name AS region, s_name AS supplier, n AS orders FROM t JOIN region ON r_regionkey = r JOIN supplier ON s_suppkey = s WHERE k <= 8"),
 }
 
+QUERIES |= {name: Query(*q) for name, q in FACT_QUERIES.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
@@ -165,4 +170,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: q.sql for name, q in QUERIES.items() if q.sql}
-
