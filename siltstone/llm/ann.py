@@ -83,7 +83,10 @@ class Forest:
             stale = 0 if better else stale + 1
             if stale >= STALE and count >= ENOUGH and len(best) >= k:
                 break
-        return best, dist
+        # the measure itself, its terms added from first to last
+        dist = np.sqrt(np.cumsum((self.x[best] - q) ** 2, axis=1)[:, -1]) if len(best) else dist
+        o = np.lexsort((self.ids[best], dist))
+        return best[o], dist[o]
 
 
 def _by_dimension(batch, ids: int, vectors: int):

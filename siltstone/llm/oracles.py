@@ -38,4 +38,28 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit
 FROM d LEFT JOIN n_hit h ON h.doc_id = d.doc_id LEFT JOIN its i ON i.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_minhash": _OP1, "op3_decontaminate": _OP3}
+_GOOD = "v IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
+_OP2 = f"""
+WITH e AS MATERIALIZED (SELECT DISTINCT vec_id, v FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) WHERE {_GOOD}),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])), lambda a, b: a + b)) AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS k FROM d)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+"""
+
+_OP9 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT x, min(doc_id) AS least FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m ON m.x = w.x AND m.least < w.doc_id),
+isle AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM isle GROUP BY doc_id, g),
+gap AS (SELECT s.doc_id, a, b, substring(h, 2 * b + 1, 2 * (coalesce(lead(a) OVER (PARTITION BY s.doc_id ORDER BY a), len(h) // 2) - b)) AS rest FROM span s JOIN d ON d.doc_id = s.doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k, min(a) AS first, string_agg(rest, '' ORDER BY a) AS rest FROM gap GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k IS NULL THEN h ELSE substring(h, 1, 2 * first) || rest END)) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_minhash": _OP1, "op2_ann": _OP2, "op3_decontaminate": _OP3, "op9_suffix_dedup": _OP9}

@@ -10,7 +10,7 @@ from siltstone.llm import queries
 def test_query(spark, sf, name):
     df = queries.queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     cols = sorted(df.columns)
