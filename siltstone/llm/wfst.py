@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of a normaliser (spaces to the mark U+2581, a mark in front of a text), the
-pieces as a trie of arcs from characters to ids, and byte fallback for characters that no piece spells.  Encoding
-composes it with the input and takes the shortest path in the tropical semiring (min, +).
+The transducer is the composition of the model's normaliser (``normaliser``), its
+pieces as a trie of arcs from characters to ids, and arcs from characters that no piece spells to their bytes' ids.  Encoding
+composes it with the input, state by state as the search gets there, and takes the shortest path in the tropical semiring (min, +).
 
 A unigram model weighs its arcs by minus the pieces' scores, and the shortest path is its answer.  A BPE model merges greedily;
 no weights on single pieces give the same result.  There the state also holds the last piece, and an arc has weight infinity
@@ -19,6 +19,7 @@ import math
 import re
 import struct
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, narrow, release
+from .normaliser import MARK, Normaliser
 
-MARK = "▁"
 #: Segments and pairs of pieces that a worker remembers; longer segments are not remembered.
 REMEMBERED, PAIRS, LONG = 400_000, 400_000, 48
 UNIGRAM, BPE = 1, 2
@@ -65,7 +66,7 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             model = f.read()
-        pieces, self.kind, normaliser, fallback = [], UNIGRAM, {}, 0
+        pieces, self.kind, normaliser, fallback, spec = [], UNIGRAM, {}, 0, {}
         for field, value in _fields(model):
             if field == 1:
                 p = dict(_fields(value))
@@ -75,14 +76,16 @@ class Transducer:
                 self.kind, fallback = spec.get(3, UNIGRAM), spec.get(35, 0)
             elif field == 3:
                 normaliser = dict(_fields(value))
-        if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1):
-            raise ValueError("only the identity normaliser with escaped spaces can be compiled")
+        if not normaliser.get(5, 1) or spec.get(24, 0) or any(t == 4 for _, _, t in pieces):
+            raise ValueError("models whose blanks stay, stand behind words, or that have user-defined pieces are not compiled")
         self.prefix = bool(normaliser.get(3, 1))
+        self.normaliser = Normaliser(normaliser.get(2, b""), self.prefix, bool(normaliser.get(4, 1)))
         self.pieces = [p for p, _, _ in pieces]
-        self.score = {p: s for p, s, t in pieces if t in (1, 4)}  # normal and user-defined pieces spell text
-        self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (1, 4)}
+        self.score = {p: s for p, s, t in pieces if t == 1}  # the pieces that spell text
+        self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == 1}
         self.code = {p: struct.pack("<i", i) for p, i in self.id.items()}
         self.unknown = next(i for i, (_, _, t) in enumerate(pieces) if t == 2)
+        self.lost, self.fallback = struct.pack("<i", self.unknown), {}
         bytes_ = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(pieces) if t == 6}
         self.bytes = bytes_ if fallback and len(bytes_) == 256 else None
         worst = min(self.score.values())
@@ -110,9 +113,7 @@ class Transducer:
         return b"" if kind == 3 else piece.replace(MARK, " ").encode()
 
     def normalise(self, text: str) -> str:
-        if not text:
-            return ""
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
+        return self.normaliser.apply(text)
 
     # stability of a pair, by the model's own merges
     def merged(self, text: str) -> list[str]:
@@ -197,22 +198,27 @@ class Transducer:
             e = back[e]
         return out[::-1]
 
+    def arc(self, piece: str) -> bytes:
+        """What an arc of the path puts out: a piece's id, or of a character that no piece spells its bytes' ids, or the unknown id."""
+        if piece not in self.code:
+            if not self.bytes:
+                return self.lost
+            if len(self.fallback) > PAIRS:
+                self.fallback.clear()
+            if piece not in self.fallback:
+                self.fallback[piece] = b"".join(struct.pack("<i", self.bytes[b]) for b in piece.encode())
+            return self.fallback[piece]
+        return self.code[piece]
+
     def segment(self, text: str) -> bytes:
         """Ids of a segment, four bytes each."""
-        code, path = self.code, self.shortest(text)
+        path = self.shortest(text)
         try:
-            return b"".join([code[p] for p in path])
+            return b"".join([self.code[p] for p in path])
         except KeyError:
-            pass
-        out: list[bytes] = []
-        for p in path:
-            if p in code:
-                out.append(code[p])
-            elif self.bytes:
-                out += [struct.pack("<i", self.bytes[b]) for b in p.encode()]
-            elif not out or out[-1] != struct.pack("<i", self.unknown):
-                out.append(struct.pack("<i", self.unknown))
-        return b"".join(out)
+            arcs = map(self.arc, path)
+            # neighbours that are all unknown are one
+            return b"".join(arcs if self.bytes else (a for k, g in groupby(arcs) for a in ([k] if k == self.lost else g)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
@@ -251,8 +257,8 @@ def load(path: str) -> Transducer:
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_pieces, n_fallback (byte pieces), ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip, and the ids if asked for.
 
-    round_trip says whether decoding the ids gives the text back; a text that holds U+2581 itself decodes to a space there.
-    ``path`` is a sentencepiece model with identity normalisation, at the same place on every executor.  Null texts are empty: no pieces.
+    round_trip says whether decoding the ids gives the text back; a text that the normaliser changes or that holds U+2581 itself does not come back.
+    ``path`` is a sentencepiece model, at the same place on every executor.  Null texts are empty: no pieces.
     Null ids and repeated rows are kept; other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
@@ -283,7 +289,10 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: doc_id and the text of the ids; null ids give a null text."""
+    """One row per input row: doc_id and the text of the ids.
+
+    Null ids give a null text, no ids an empty one; rows with a null doc_id and repeated rows are kept; other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches):
         t = load(path)
