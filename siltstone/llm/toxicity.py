@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, narrow, text_chunks
+from .common import bounded_batches, flat_text, narrow, text_chunks
 from .words import ALNUM, LOWER, U, bounds, hashes, mix
 
 DISCOUNT = 0.75
@@ -45,15 +45,22 @@ def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.where(np.arange(LETTERS + 1)[None, :] < np.minimum(ends - starts, LETTERS)[:, None], rows, 0).astype(np.uint8)
 
 
+_ROOT = U(0x2545F4914F6CDD1D)
+
+
 def _prefixes(letters: np.ndarray) -> np.ndarray:
     """Keys of the prefixes of 0, 1, ... letters of each word; the zero at a word's end counts as a letter."""
     out = np.empty((len(letters), LETTERS + 2), U)
-    out[:, 0] = U(0x2545F4914F6CDD1D)
+    out[:, 0] = _ROOT
     for i in range(LETTERS + 1):
-        out[:, i + 1] = mix(out[:, i] * U(0x9E3779B97F4A7C15) + letters[:, i] + U(1))
+        out[:, i + 1] = _longer(out[:, i], letters[:, i])
     return out
 
 
+def _longer(keys: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    return mix(keys * U(0x9E3779B97F4A7C15) + letter + U(1))
+
+
 def _counts(sample: DataFrame) -> DataFrame:
     """(letters, c0, c1): each word with the number of different words before it, in ordinary and in toxic texts."""
 
@@ -98,40 +105,47 @@ class Model:
     @staticmethod
     def of(words: pa.Table) -> Model:
         """From rows (letters, c0, c1), as many as the sample has different words."""
+        words = words.combine_chunks()
         c0, c1 = (words.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
         if not c0.sum() or not c1.sum():
             return Model(np.zeros(0, U), np.zeros(0), np.zeros(4))
-        raw = words.column("letters").to_pylist()
-        letters = np.frombuffer(b"".join(w.ljust(LETTERS + 1, b"\0") for w in raw), np.uint8).reshape(-1, LETTERS + 1)
-        size = np.array([len(w) for w in raw])
-        every = _prefixes(letters)
-        # a node is a prefix with its last letter x; its parent is h
-        at = [np.flatnonzero(size + 1 >= n) for n in range(1, LETTERS + 2)]
-        word, depth = np.concatenate(at), np.concatenate([np.full(len(a), n) for n, a in enumerate(at, 1)])
-        keys, first, node = np.unique(every[word, depth], return_index=True, return_inverse=True)
-        c0, c1 = _sums(node, len(keys), c0[word], c1[word])
-        word, depth = word[first], depth[first]
-        x, y = letters[word, depth - 1], np.where(depth > 1, letters[word, np.maximum(depth - 2, 0)], 0)
-        above, h = np.unique(every[word, depth - 1], return_inverse=True)
+        data, offs = flat_text(words.column("letters"))
+        size = np.diff(offs)
+        letters = np.zeros((len(size), LETTERS + 1), np.uint8)
+        letters[np.arange(LETTERS + 1)[None, :] < size[:, None]] = data
+        # the nodes of each depth: prefixes with their last letter x, the letter y before it, and the place of their parent h in the depth above
+        key, h, levels = np.full(len(size), _ROOT), np.zeros(len(size), np.int64), []
         pairs = np.full((256, 256), FLOOR)
-        np.add.at(pairs, (y, x), 1.0)
-        low = (pairs / pairs.sum(1, keepdims=True))[y, x]
-        both, n = c0 + c1, len(above)
-        more = np.maximum(both - DISCOUNT, 0)
-        total, kinds, rest = _sums(h, n, both, np.ones(len(h)), more)
-        shared, g = more / rest[h], DISCOUNT * (kinds / total)[h]
-
-        def spelled(c: np.ndarray) -> np.ndarray:
-            seen, kinds = _sums(h, n, c, c > 0)
-            own = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[h] * shared) / np.maximum(seen[h], 1)
-            return (1 - g) * np.where(seen[h] > 0, own, shared) + g * low
-
-        llr = np.log(spelled(c1) / spelled(c0))
-        parent = np.minimum(np.searchsorted(keys, above[h]), len(keys) - 1)
-        for d in range(2, LETTERS + 2):
-            k = np.flatnonzero(depth == d)
-            llr[k] += llr[parent[k]]
-        return Model(keys, llr.astype(np.float32), np.zeros(4))
+        for d in range(1, LETTERS + 2):
+            going = size >= d - 1
+            key, h, size, letters, c0, c1 = key[going], h[going], size[going], letters[going], c0[going], c1[going]
+            if not len(key):
+                break
+            key = _longer(key, letters[:, d - 1])
+            nodes, first, inv = np.unique(key, return_index=True, return_inverse=True)
+            x, y = letters[first, d - 1], letters[first, d - 2] if d > 1 else np.zeros(len(first), np.uint8)
+            levels.append((nodes, *_sums(inv, len(nodes), c0, c1), x, y, h[first]))
+            np.add.at(pairs, (y, x), 1.0)
+            h = inv
+        low = pairs / pairs.sum(1, keepdims=True)
+        above, keys, out = np.zeros(1), [], []
+        for nodes, n0, n1, x, y, h in levels:
+            n, both = len(above), n0 + n1
+            more = np.maximum(both - DISCOUNT, 0)
+            total, kinds, rest = _sums(h, n, both, np.ones(len(h)), more)
+            shared, g = more / rest[h], DISCOUNT * (kinds[h] / total[h])
+
+            def spelled(c: np.ndarray, h=h, n=n, shared=shared, g=g, x=x, y=y) -> np.ndarray:
+                seen, kinds = _sums(h, n, c, c > 0)
+                own = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[h] * shared) / np.maximum(seen[h], 1)
+                return (1 - g) * np.where(seen[h] > 0, own, shared) + g * low[y, x]
+
+            above = np.log(spelled(n1) / spelled(n0)) + above[h]
+            keys.append(nodes)
+            out.append(above.astype(np.float32))
+        keys, llr = np.concatenate(keys), np.concatenate(out)
+        order = np.argsort(keys)
+        return Model(keys[order], llr[order], np.zeros(4))
 
     def words(self, letters: np.ndarray) -> np.ndarray:
         """Difference of the log-likelihoods of words: that of the longest known prefix, as the rest is spelled alike."""
