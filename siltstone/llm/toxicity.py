@@ -11,12 +11,12 @@ follows the last one.  R, g and Q are shared by both classes: what is rare in bo
 is spelled by the shared counts and speaks for neither.  No count is too small to enter.
 
 A text's evidence is the length-normalised difference of its two log-likelihoods over all its words, over its strongest word and over its three strongest: a toxic
-expression may be a word in thousands.  A logistic fit on texts that the counts have not seen turns it into a score.
+expression may be a word in thousands.  A logistic fit turns it into a score: the sample is dealt into ``FOLDS`` parts, and the evidence of each part comes from
+the counts of the others.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +32,10 @@ DISCOUNT = 0.75
 LETTERS = 16
 #: Added to each count of letter pairs, so that no letter is impossible.
 FLOOR = 0.01
-#: Labelled rows of each class that the models are fitted on, chosen by hash; one in four calibrates the score.
-FIT_ROWS = 6000
+#: Labelled rows of each class that the models are fitted on, chosen by hash, and parts of them whose evidence comes from the others.
+FIT_ROWS, FOLDS = 6000, 4
+#: Inverse variance of the weights of the evidence, before any row is seen: few rows give scores near the share of toxic rows.
+RIDGE = 1.0
 #: Score from which a text is rejected.
 REJECT = 0.7
 
@@ -62,15 +64,20 @@ def _longer(keys: np.ndarray, letter: np.ndarray) -> np.ndarray:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(letters, c0, c1): each word with the number of different words before it, in ordinary and in toxic texts."""
+    """Each word (letters) of ``sample`` (text, toxic, fold) with the number of different words before it, in ordinary (c0, ...) and in toxic texts (c1, ...).
+
+    c0 and c1 count the whole sample, c0_k and c1_k the folds other than k.
+    """
 
     def run(batches):
         for batch in batches:
-            toxic = batch.column(2).to_numpy(zero_copy_only=False)
+            # bits: of the folds in which ordinary texts have a pair of words, and above them those of toxic texts
+            bit = 1 << (batch.column(2).to_numpy(zero_copy_only=False) + FOLDS * batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
             lo = 0
-            for ids, buf, offs in text_chunks(iter([batch])):
+            view = pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["toxic", "text"])
+            for ids, buf, offs in text_chunks(iter([view])):
                 starts, ends, ptr = bounds(buf, offs, ALNUM)
-                y = np.repeat(toxic[lo : lo + len(ids)], np.diff(ptr))
+                bits = np.repeat(bit[lo : lo + len(ids)], np.diff(ptr))
                 lo += len(ids)
                 if not len(starts):
                     continue
@@ -78,16 +85,20 @@ def _counts(sample: DataFrame) -> DataFrame:
                 prev = np.concatenate([np.zeros(1, U), h[:-1]])
                 prev[ptr[:-1][ptr[:-1] < ptr[1:]]] = U(0)
                 pair = mix(prev * U(0x9FB21C651E98DF25) + h)
-                _, at = np.unique(pair * U(2) + y.astype(U), return_index=True)
+                order = np.argsort(pair, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
+                at = order[first]
                 flat = _spelled(buf, starts[at], ends[at])[:, :LETTERS]
                 size = np.minimum(ends[at] - starts[at], LETTERS)
                 raw = flat[np.arange(LETTERS)[None, :] < size[:, None]].tobytes()
                 text = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([text, pa.array(pair[at].view(np.int64)), pa.array(1 - y[at].astype(np.int32)), pa.array(y[at].astype(np.int32))], ["letters", "pair", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([text, pa.array(pair[at].view(np.int64)), pa.array(np.bitwise_or.reduceat(bits[order], first).astype(np.int32))], ["letters", "pair", "bits"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(run, "letters binary, pair long, c0 int, c1 int")
-    each = got.groupBy("letters", "pair").agg(F.max("c0").alias("c0"), F.max("c1").alias("c1"))
-    return each.groupBy("letters").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    got = sample.select("text", "toxic", "fold").mapInArrow(run, "letters binary, pair long, bits int")
+    each = got.groupBy("letters", "pair").agg(F.bit_or("bits").alias("bits"))
+    whole = (1 << FOLDS) - 1
+    masks = {"": whole} | {f"_{k}": whole & ~(1 << k) for k in range(FOLDS)}
+    return each.groupBy("letters").agg(*[F.sum((F.col("bits").bitwiseAND(F.lit(m << FOLDS * c)) != 0).cast("int")).alias(f"c{c}{name}") for name, m in masks.items() for c in (0, 1)])
 
 
 def _sums(group: np.ndarray, n: int, *columns: np.ndarray) -> list[np.ndarray]:
@@ -103,16 +114,17 @@ class Model:
     weights: np.ndarray
 
     @staticmethod
-    def of(words: pa.Table) -> Model:
-        """From rows (letters, c0, c1), as many as the sample has different words."""
+    def of(words: pa.Table, but: str = "") -> Model:
+        """From rows of counts, as many as the sample has different words; ``but``: without a fold."""
         words = words.combine_chunks()
-        c0, c1 = (words.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
+        c0, c1 = (words.column(f"{c}{but}").to_numpy().astype(float) for c in ("c0", "c1"))
         if not c0.sum() or not c1.sum():
             return Model(np.zeros(0, U), np.zeros(0), np.zeros(4))
         data, offs = flat_text(words.column("letters"))
-        size = np.diff(offs)
+        size, some = np.diff(offs), c0 + c1 > 0
         letters = np.zeros((len(size), LETTERS + 1), np.uint8)
         letters[np.arange(LETTERS + 1)[None, :] < size[:, None]] = data
+        letters, size, c0, c1 = letters[some], size[some], c0[some], c1[some]
         # the nodes of each depth: prefixes with their last letter x, the letter y before it, and the place of their parent h in the depth above
         key, h, levels = np.full(len(size), _ROOT), np.zeros(len(size), np.int64), []
         pairs = np.full((256, 256), FLOOR)
@@ -184,20 +196,34 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Newton steps of a weighted logistic fit with a small ridge."""
+    """Newton steps of a weighted logistic fit; the weights, but not the constant, are drawn to zero."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    ridge = np.array([RIDGE] * (x.shape[1] - 1) + [1e-6])
     b = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (w * (p - y)) + 0.05 * b
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b))
+        g = x.T @ (w * (p - y)) + ridge * b
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
         step = np.linalg.solve(hess, g)
-        b -= step
+        b -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return b
 
 
+def _raising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The fit in which no evidence lowers a score: what would is left out."""
+    use = list(range(x.shape[1]))
+    while True:
+        b = _logistic(x[:, use], y, w)
+        worst = int(np.argmin(b[:-1])) if use else 0
+        if not use or b[worst] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*use, -1]] = b
+            return out
+        del use[worst]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Model:
     """The models, from at most ``fit_rows`` labelled texts of each class: those of the smallest hashes, so the same in every run.
 
@@ -215,29 +241,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
         chosen = part if chosen is None else chosen.union(part)
     if len(share) < 2:
         return Model(np.zeros(0, U), np.zeros(0), np.zeros(4))
-    chosen = chosen.withColumn("r", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)))
-    texts = docs.join(F.broadcast(chosen.select("doc_id", "toxic", "r")), "doc_id").persist()  # at most 2 * fit_rows keys
-    model = Model.of(_counts(texts.where("r <> 0")).toArrow())
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(model)
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int"))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "fold").persist()  # at most 2 * fit_rows keys
+    words = _counts(texts).toArrow()
+    model = Model.of(words)
+    known = docs.sparkSession.sparkContext.broadcast([Model.of(words, f"_{k}") for k in range(FOLDS)])
 
     def run(batches):
         for batch in batches:
-            lo = 0
-            for ids, buf, offs in text_chunks(iter([batch])):
-                e = known.value.evidence(buf, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, len(ids)), *[pa.array(e[:, k]) for k in range(3)]], ["toxic", "a", "b", "c"])
-                lo += len(ids)
-
-    got = texts.where("r = 0").select("doc_id", "text", "toxic").mapInArrow(run, "toxic int, a double, b double, c double").toArrow()
+            fold = batch.column(2).to_numpy(zero_copy_only=False)
+            for k in np.unique(fold).tolist():
+                part = batch.filter(pa.array(fold == k))
+                lo = 0
+                for ids, buf, offs in text_chunks(iter([pa.RecordBatch.from_arrays([part.column(1), part.column(0)], ["toxic", "text"])])):
+                    e = known.value[k].evidence(buf, offs)
+                    yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, len(ids)), *[pa.array(e[:, j]) for j in range(3)]], ["toxic", "a", "b", "c"])
+                    lo += len(ids)
+
+    got = texts.select("text", "toxic", "fold").mapInArrow(run, "toxic int, a double, b double, c double").orderBy("toxic", "a", "b", "c").toArrow()
     texts.unpersist()
+    known.unpersist()
     y = got.column("toxic").to_numpy().astype(float)
-    x = np.stack([got.column(c).to_numpy() for c in "abc"], 1)
     if len(set(y.tolist())) == 2:
-        w = np.where(y == 1, share[1] / max(1, (y == 1).sum()), share[0] / max(1, (y == 0).sum()))
-        model.weights = _logistic(x, y, w * len(y) / w.sum())
-    elif share.get(0) and share.get(1):
-        model.weights = np.array([1.0, 0.5, 1.0, math.log(share[1] / share[0])])
+        x = np.stack([got.column(c).to_numpy() for c in "abc"], 1)
+        w = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
+        model.weights = _raising(x, y, w * len(y) / w.sum())
     return model
 
 

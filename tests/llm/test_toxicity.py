@@ -78,8 +78,14 @@ def test_likelihoods_against_plain_sums(spark):
     words = ["".join(rnd.choices("abcé", k=rnd.randint(1, 5))) for _ in range(40)] + ["x" * 15, "x" * 16, "x" * 16 + "y", "x" * 17 + "z"]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(40)]
     toxic = {i: rnd.randrange(2) for i, _ in docs}
-    sample = spark.createDataFrame([(i, t, toxic[i]) for i, t in docs], "doc_id long, text string, toxic int").repartition(3)
-    model, want = T.Model.of(T._counts(sample).toArrow()), plain_model(docs, toxic)
+    sample = spark.createDataFrame([(t, toxic[i], i % T.FOLDS) for i, t in docs], "text string, toxic int, fold int").repartition(3)
+    counts = T._counts(sample).toArrow()
+    for fold in range(T.FOLDS):  # the model without a fold is that of the other texts
+        part = T.Model.of(counts, f"_{fold}")
+        other = plain_model([d for d in docs if d[0] % T.FOLDS != fold], toxic)
+        raw = np.frombuffer(words[0].encode(), np.uint8)
+        assert part.words(T._spelled(raw, np.array([0]), np.array([len(raw)])))[0] == pytest.approx(other(words[0].encode()), abs=1e-4)
+    model, want = T.Model.of(counts), plain_model(docs, toxic)
     for w in [*words, "abz", "zz", "x" * 14, "cé"]:
         raw = np.frombuffer(w.encode(), np.uint8)
         got = model.words(T._spelled(raw, np.array([0]), np.array([len(raw)])))[0]
@@ -92,9 +98,9 @@ def test_likelihoods_against_plain_sums(spark):
 
 
 def test_copies_add_nothing(spark):
-    rows = [(1, "a b c", 0), (2, "d e", 1)]
-    more = rows + [(k, "d e", 1) for k in range(3, 30)]
-    frames = [spark.createDataFrame(x, "doc_id long, text string, toxic int") for x in (rows, more)]
+    rows = [("a b c", 0, 0), ("d e", 1, 1)]
+    more = rows + [("d e", 1, 1) for k in range(3, 30)]
+    frames = [spark.createDataFrame(x, "text string, toxic int, fold int") for x in (rows, more)]
     one, two = (sorted((bytes(r.letters), r.c0, r.c1) for r in T._counts(f).collect()) for f in frames)
     assert one == two
 
@@ -121,7 +127,7 @@ def test_query_on_documents(spark, sf):
     out = queries.queries()["op7_toxicity"](spark, at).collect()
     found, wrong = rates(out, labels)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
-    assert found > 0.77 and wrong < 0.005  # some 270 toxic texts in four languages to learn from
+    assert found > 0.84 and wrong < 0.005  # some 270 toxic texts in four languages to learn from
 
 
 def test_edges(spark):
