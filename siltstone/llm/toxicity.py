@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_text, narrow, text_chunks
+from .common import bounded_batches, flat_text, narrow, release, text_chunks
 from .words import ALNUM, LOWER, U, bounds, hashes, mix
 
 DISCOUNT = 0.75
@@ -98,7 +98,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     each = got.groupBy("letters", "pair").agg(F.bit_or("bits").alias("bits"))
     whole = (1 << FOLDS) - 1
     masks = {"": whole} | {f"_{k}": whole & ~(1 << k) for k in range(FOLDS)}
-    return each.groupBy("letters").agg(*[F.sum((F.col("bits").bitwiseAND(F.lit(m << FOLDS * c)) != 0).cast("int")).alias(f"c{c}{name}") for name, m in masks.items() for c in (0, 1)])
+    return each.groupBy("letters").agg(*[F.sum((F.col("bits").bitwiseAND(F.lit(m << FOLDS * c)) != 0).cast("int")).cast("int").alias(f"c{c}{name}") for name, m in masks.items() for c in (0, 1)])
 
 
 def _sums(group: np.ndarray, n: int, *columns: np.ndarray) -> list[np.ndarray]:
@@ -260,7 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mode
 
     got = texts.select("text", "toxic", "fold").mapInArrow(run, "toxic int, a double, b double, c double").orderBy("toxic", "a", "b", "c").toArrow()
     texts.unpersist()
-    known.unpersist()
+    known.destroy()
+    del words, known
+    release()  # the driver's memory, too, is what a cluster gives it
     y = got.column("toxic").to_numpy().astype(float)
     if len(set(y.tolist())) == 2:
         x = np.stack([got.column(c).to_numpy() for c in "abc"], 1)
