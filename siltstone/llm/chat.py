@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 from .ordering import LOCAL, places
-from .schema import canonical, label, loads, valid
+from .schema import canonical, label, loads, verdict
 
 _REF = re.compile(r"^\$call:(.+)$", re.S)
 
@@ -85,8 +85,8 @@ def _parse(batches):
 
 def _checked(batches):
     for b in batches:
-        ok = [s is not None and valid(loads(a)[0], loads(s)[0]) for a, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok)], ["m", "ok"])
+        ok = [s is not None and verdict(loads(a)[0], loads(s)[0]) for a, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], ["m", "ok"])
 
 
 def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,14 +112,15 @@ def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", local: int = LOCAL) -> DataFrame:
-    """One row per input row: conv_id, turn, position, role, n_calls, n_linked, n_valid, status, json.
+    """One row per input row: conv_id, turn, position, role, n_calls, n_linked, n_valid, n_unchecked, status, json.
 
     position: rank in the conversation, in topological order.  n_linked: calls of the message that have a result.  n_valid: calls
-    whose arguments meet the schema of a tool that the conversation defines (of several definitions, the canonically smallest).  status: "plain", "calls", "linked" (a result with
+    whose arguments meet the schema of a tool that the conversation defines (of several definitions, the canonically smallest).  n_unchecked: calls for which that
+    cannot be said, as the schema is malformed or has a pattern that cannot be followed in time (``schema.verdict``); the others of n_calls break the schema or name no tool of the conversation.  status: "plain", "calls", "linked" (a result with
     a call), "duplicate" (a result after the first of its call), "orphan" (a result without a call) or "cycle" (the message depends on
     itself and stays at its turn).  Of several calls with one identifier the first holds it.
     A null turn sorts first, a null conversation is one of its own, a null role or text is null in the JSON.  Repeated rows are
-    repeated messages.  A text that is no JSON, or nests deeper than 128 levels, is plain; a schema that is malformed is met by nothing; half a
+    repeated messages.  A text that is no JSON, or nests deeper than 128 levels, is plain; a schema that is malformed leaves its calls unchecked; half a
     surrogate pair is written as its escape.  ``local``: links of a connected part that one task may hold. Other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(messages.sparkSession)
@@ -139,7 +140,7 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
     tools = rows.select("c", F.explode("tools").alias("x")).groupBy("c", F.col("x.name").alias("name")).agg(F.min("x.schema").alias("schema"))
     valid_ = calls.join(tools, ["c", "name"], "left").select("m", "arguments", "schema").mapInArrow(_checked, "m long, ok boolean")
-    n_valid = valid_.groupBy("m").agg(F.sum(F.col("ok").cast("long")).alias("n_valid"))
+    n_valid = valid_.groupBy("m").agg(F.sum(F.col("ok").cast("long")).alias("n_valid"), F.count_if(F.col("ok").isNull()).alias("n_unchecked"))
 
     # order: a result after its call, a call after the results that it mentions
     after = state.where("call is not null and call <> m").select(F.col("call").alias("a"), F.col("m").alias("b"))
@@ -151,4 +152,4 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     out = parsed.join(position, "m").join(state.select("m", "result_state"), "m", "left").join(n_linked, "m", "left").join(n_valid, "m", "left").join(placed.select("m", "cyclic"), "m", "left")
     status = F.when(F.col("cyclic"), "cycle").when(F.col("result_state").isNotNull(), F.col("result_state")).when(F.size("calls") > 0, "calls").otherwise("plain")
     zero = F.lit(0).cast("long")
-    return out.select("conv_id", "turn", "position", "role", F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), F.coalesce("n_valid", zero).alias("n_valid"), status.alias("status"), "json")
+    return out.select("conv_id", "turn", "position", "role", F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), F.coalesce("n_valid", zero).alias("n_valid"), F.coalesce("n_unchecked", zero).alias("n_unchecked"), status.alias("status"), "json")

@@ -9,9 +9,11 @@ from fractions import Fraction
 
 import regex
 
+from .patterns import Unable, occurs
+
 #: Levels to which a JSON text may nest; deeper ones are no JSON here.
 DEEPEST = 128
-#: Seconds that one pattern may search one string; a pattern that takes longer does not match.
+#: Seconds that one pattern may search one string by backtracking; one that takes longer is searched without (``patterns``).
 PATIENCE = 2.0
 _LONE = re.compile("[\ud800-\udfff]")
 
@@ -58,6 +60,10 @@ class Malformed(Exception):
     """The schema has a keyword whose value is of no use."""
 
 
+class Undecided(Exception):
+    """It is not known whether a pattern occurs in a string."""
+
+
 def _number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
@@ -100,13 +106,19 @@ def _found(pattern: str, text: str) -> bool:
     try:
         return regex.search(pattern, text, timeout=PATIENCE) is not None
     except TimeoutError:
-        return False
+        pass
     except (regex.error, OverflowError, RecursionError) as e:
         raise Malformed(pattern) from e
+    try:
+        return occurs(pattern, text)
+    except (Unable, RecursionError) as e:
+        raise Undecided(pattern) from e
 
 
 class Check:
-    """One value against one schema.  Each pair of a value and a part of the schema is looked at once, so no schema takes more than their product."""
+    """One value against one schema.  Each pair of a value and a part of the schema is looked at once, so no schema takes more than their product.
+
+    A part that hangs on others yields them as (value, schema) and is sent whether they are met, so no nesting is too deep."""
 
     def __init__(self, root):
         self.root, self.known = root, {}
@@ -127,6 +139,19 @@ class Check:
         return at
 
     def meets(self, value, schema) -> bool:
+        todo, met = [self._looked_at(value, schema)], None
+        while todo:
+            try:
+                part = todo[-1].send(met)
+            except StopIteration as e:
+                todo.pop()
+                met = e.value
+            else:
+                todo.append(self._looked_at(*part))
+                met = None
+        return met
+
+    def _looked_at(self, value, schema):
         if isinstance(schema, bool):
             return schema
         if not isinstance(schema, dict):
@@ -137,52 +162,71 @@ class Check:
                 if not KEYWORDS[k](schema[k]):
                     raise Malformed(k)
             self.known[key] = None
-            self.known[key] = self._meets(value, schema)
+            self.known[key] = yield from self._meets(value, schema)
         if self.known[key] is None:  # a reference that leads back to itself
             raise Malformed("endless reference")
         return self.known[key]
 
-    def _meets(self, v, s: dict) -> bool:
-        if "$ref" in s and not self.meets(v, self.pointed(s["$ref"])):
+    def _meets(self, v, s: dict):
+        if "$ref" in s and not (yield v, self.pointed(s["$ref"])):
             return False
         if "type" in s and not any(TYPES[t](v) for t in ([s["type"]] if isinstance(s["type"], str) else s["type"])):
             return False
         if "enum" in s and canonical(v) not in {canonical(x) for x in s["enum"]} or "const" in s and canonical(v) != canonical(s["const"]):
             return False
-        own = self.object if isinstance(v, dict) else self.array if isinstance(v, list) else self.text if isinstance(v, str) else self.number if _number(v) else None
-        if own and not own(v, s):
+        if isinstance(v, dict) and not (yield from self.object(v, s)) or isinstance(v, list) and not (yield from self.array(v, s)):
             return False
-        if not all(self.meets(v, x) for x in s.get("allOf", [])) or "anyOf" in s and not any(self.meets(v, x) for x in s["anyOf"]):
+        if isinstance(v, str) and not self.text(v, s) or _number(v) and not self.number(v, s):
             return False
-        if "oneOf" in s and sum(self.meets(v, x) for x in s["oneOf"]) != 1 or "not" in s and self.meets(v, s["not"]):
+        if not (yield from self.all((v, x) for x in s.get("allOf", []))):
+            return False
+        if "anyOf" in s:
+            for x in s["anyOf"]:
+                if (yield v, x):
+                    break
+            else:
+                return False
+        if "oneOf" in s and (yield from self.count((v, x) for x in s["oneOf"])) != 1 or "not" in s and (yield v, s["not"]):
             return False
-        return "if" not in s or self.meets(v, s.get("then" if self.meets(v, s["if"]) else "else", True))
+        return "if" not in s or (yield v, s.get("then" if (yield v, s["if"]) else "else", True))
+
+    def all(self, parts):
+        for part in parts:
+            if not (yield part):
+                return False
+        return True
+
+    def count(self, parts):
+        n = 0
+        for part in parts:
+            n += yield part
+        return n
 
-    def object(self, v: dict, s: dict) -> bool:
+    def object(self, v: dict, s: dict):
         if any(k not in v for k in s.get("required", [])) or not s.get("minProperties", 0) <= len(v) <= s.get("maxProperties", math.inf):
             return False
         for k, need in s.get("dependentRequired", {}).items():
             if k in v and any(n not in v for n in need):
                 return False
-        if not all(self.meets(v, x) for k, x in s.get("dependentSchemas", {}).items() if k in v):
+        if not (yield from self.all((v, x) for k, x in s.get("dependentSchemas", {}).items() if k in v)):
             return False
         props, patterns = s.get("properties", {}), s.get("patternProperties", {})
         for k, x in v.items():
             rules = [props[k]] if k in props else []
             rules += [r for p, r in patterns.items() if _found(p, k)]
-            if not all(self.meets(x, r) for r in rules or [s.get("additionalProperties", True)]) or "propertyNames" in s and not Check(self.root).meets(k, s["propertyNames"]):
+            if not (yield from self.all((x, r) for r in rules or [s.get("additionalProperties", True)])) or "propertyNames" in s and not Check(self.root).meets(k, s["propertyNames"]):
                 return False
         return True
 
-    def array(self, v: list, s: dict) -> bool:
+    def array(self, v: list, s: dict):
         if not s.get("minItems", 0) <= len(v) <= s.get("maxItems", math.inf):
             return False
         first = s.get("prefixItems", [])
-        if not all(self.meets(x, r) for x, r in zip(v, first)) or not all(self.meets(x, s.get("items", True)) for x in v[len(first) :]):
+        if not (yield from self.all(zip(v, first))) or not (yield from self.all((x, s.get("items", True)) for x in v[len(first) :])):
             return False
         if s.get("uniqueItems") and len({canonical(x) for x in v}) < len(v):
             return False
-        return "contains" not in s or s.get("minContains", 1) <= sum(self.meets(x, s["contains"]) for x in v) <= s.get("maxContains", math.inf)
+        return "contains" not in s or s.get("minContains", 1) <= (yield from self.count((x, s["contains"]) for x in v)) <= s.get("maxContains", math.inf)
 
     def text(self, v: str, s: dict) -> bool:
         return s.get("minLength", 0) <= len(v) <= s.get("maxLength", math.inf) and ("pattern" not in s or _found(s["pattern"], v))
@@ -195,12 +239,18 @@ class Check:
         return "multipleOf" not in s or _finite(v) and Fraction(str(v)) % Fraction(str(s["multipleOf"])) == 0
 
 
-def valid(value, schema) -> bool:
+def verdict(value, schema) -> bool | None:
     """Whether a value meets a JSON schema: the validating keywords of draft 2020-12 and references inside the schema; formats and annotations say nothing.
 
-    A schema with a keyword of a wrong kind, an unusable pattern, a reference out of the schema or round in a circle is met by nothing, where the value gets as far as that part.
+    None where that cannot be said: a keyword of a wrong kind, an unusable pattern, a reference out of the schema or round in a circle, or a pattern with
+    back references (or others that ``patterns`` is unable to follow) that takes longer than PATIENCE; each where the value gets as far as that part.
     """
     try:
         return Check(schema).meets(value, schema)
-    except (Malformed, RecursionError):
-        return False
+    except (Malformed, Undecided, RecursionError):
+        return None
+
+
+def valid(value, schema) -> bool:
+    """Whether a value is known to meet a JSON schema; a schema without a verdict is met by nothing."""
+    return verdict(value, schema) is True

@@ -4,9 +4,10 @@ import json
 import random
 
 import pytest
+import regex
 
 from siltstone.llm import chat as C
-from siltstone.llm import ordering, schema
+from siltstone.llm import ordering, patterns, schema
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 TOOLS = json.dumps({"content": "hi", "tools": [{"type": "function", "function": {"name": "add", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "integer", "minimum": 0}}, "required": ["x"], "additionalProperties": False}}}]})
@@ -182,3 +183,60 @@ def test_reversed_chain_of_two_hundred(spark):
     nodes = spark.createDataFrame([*t.items(), (500, 3), (501, 4)], "m long, t long")
     found = {r.m: (r.et, r.level, r.cyclic) for r in ordering.places(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[m] == (200, m, False) for m in t) and found[500] == (3, 0, True)
+
+
+SLOW = "a" * 60 + "!"  # backtracking takes for ever on this and (a|aa)+
+LONG = [
+    ("a" * 5000 + "!", {"pattern": "^(a|aa)+$"}, False), (SLOW, {"not": {"pattern": "^(a|aa)+$"}}, True), (SLOW, {"pattern": "^(a|aa)+$|!$"}, True), (SLOW + "b", {"pattern": r"^((?:a|a{2})+$|(?=.*\w$).*[^!]$)"}, True),
+    ({SLOW + "b": 1}, {"patternProperties": {"^((a|aa)+$|.*b$)": False}}, False), ({SLOW: 1}, {"patternProperties": {"^(a|aa)+$": False}, "additionalProperties": {"type": "integer"}}, True), ({SLOW: 1}, {"propertyNames": {"pattern": "^(a|aa)+$|!$"}}, True),
+    (SLOW, {"pattern": r"^(a|aa)+\1$"}, None), (SLOW, {"not": {"pattern": r"^(a|aa)+\1$"}}, None), ("aa", {"pattern": r"^(a)\1$"}, True), ("a", {"pattern": "("}, None), ("a", {"not": {"pattern": "("}}, None), ("a", {"maxLength": "1"}, None), ("a", {"$ref": "#"}, None),
+]
+
+
+@pytest.mark.parametrize("value, rule, said", LONG)
+def test_no_verdict_is_told_from_false(value, rule, said):
+    assert schema.verdict(value, rule) is said and schema.valid(value, rule) is (said is True)
+
+
+def test_nesting_within_the_bound_has_a_verdict():
+    rule = {"anyOf": [{"$ref": "#/$defs/n"}], "$defs": {"n": {"properties": {"a": {"$ref": "#"}}, "required": ["a"]}}}
+    value, broken = {"a": 1}, {"b": 1}
+    for _ in range(120):
+        value, broken = {"a": value}, {"a": broken}
+    assert schema.verdict(value, rule) is True and schema.verdict(broken, rule) is False
+
+
+def a_pattern(rnd, depth):
+    kind = rnd.random()
+    if depth == 0 or kind < 0.3:
+        return rnd.choice(["a", "b", ".", "[ab]", "[^a]", "[]b-d]", r"\w", r"\b", r"\B", "^", "$", r"\.", r"\p{L}", r"\x61", "[[:alpha:]1]"])
+    if kind < 0.5:
+        return a_pattern(rnd, depth - 1) + a_pattern(rnd, depth - 1)
+    if kind < 0.65:
+        return f"({a_pattern(rnd, depth - 1)}|{a_pattern(rnd, depth - 1)})"
+    if kind < 0.75:
+        return rnd.choice(["(?=", "(?!", "(?<=", "(?<!"]) + a_pattern(rnd, depth - 1) + ")"
+    return f"(?:{a_pattern(rnd, depth - 1)})" + rnd.choice(["*", "+", "?", "{2}", "{1,2}", "{2,}", "{,2}", "*?", "{0,3}?", "{0}"])
+
+
+def test_patterns_without_backtracking_find_what_regex_finds():
+    rnd, found = random.Random(4), 0
+    for _ in range(4000):
+        pattern, text = a_pattern(rnd, rnd.randint(1, 4)), "".join(rnd.choice("aab1 .\n-é") for _ in range(rnd.randint(0, 9)))
+        want = regex.search(pattern, text) is not None
+        found += want
+        assert patterns.occurs(pattern, text) is want, (pattern, text)
+    assert 1000 < found < 3500
+    for pattern in (r"(a)\1", "(?>a+)", "a++", "(?i)a", r"(?P<x>a)(?P=x)", "(?:a){e<=1}", r"a\Gb", "(a)?(?(1)b|c)"):
+        with pytest.raises(patterns.Unable):
+            patterns.occurs(pattern, "a")
+
+
+def test_unchecked_calls_are_counted_apart(spark):
+    rules = {"slow": {"pattern": "^(a|aa)+$|!$"}, "not": {"not": {"pattern": "^(a|aa)+$|!$"}}, "back": {"not": {"pattern": r"^(a|aa)+\1$"}}, "bad": {"pattern": "("}, "off": {"required": 5}}
+    rows = [(1, 0, "system", json.dumps({"tools": [{"name": n, "parameters": {"properties": {"x": r}} if n != "off" else r} for n, r in rules.items()]}))]
+    rows += [(1, k, "assistant", call((str(k), n, {"x": SLOW}))) for k, n in enumerate([*rules, "none"], 1)]
+    rows += [(1, 9, "assistant", call(*((n, n, {"x": SLOW}) for n in [*rules, "none"]))), (2, 0, "user", "x")]
+    by = {(r.conv_id, r.turn): (r.n_calls, r.n_valid, r.n_unchecked) for r in got(spark, rows)}
+    assert [by[1, k] for k in range(1, 7)] == [(1, 1, 0), (1, 0, 0), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 0, 0)]
+    assert by[1, 9] == (6, 1, 3) and by[1, 0] == by[2, 0] == (0, 0, 0)
