@@ -22,6 +22,8 @@ from . import errors
 I64_MIN = -(1 << 63)
 #: Parts of a group whose best rows are found apart.
 SALTS = 64
+#: Pairs of two rows with equal keys from which they are made in tasks of about so many, and of a group in blocks of a quarter; most blocks a side and tasks.
+PAIRS, SIDES, TASKS = 4_000_000, 64, 4096
 
 
 @dataclass(frozen=True)
@@ -429,15 +431,74 @@ class Lowering:
                 rows = rows.withColumn("__part", F.pmod(F.xxhash64("i"), F.lit(SALTS))).withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("__rn") <= k)
         return self.back(f, captured, rows.select(*by, "s", "i"), {g.score: "s", g.item: "i"}, "inner")
 
+    # pairs
+    def pairs(self, goals, a: A.Atom) -> Frame | None:
+        """The bindings of a rule that pairs the rows of a relation by keys that its head drops, without repeated ones; None for other rules and for few pairs.
+
+        What is paired through one key only is so once, so only what has several on both sides is looked at for repeats.  The square of a group is
+        dealt out in blocks: memory of a task does not depend on the size of a group, and nothing of the pairs is shuffled or kept.
+        """
+        if len(goals) < 2 or not all(isinstance(g, A.Atom) for g in goals[:2]) or not all(isinstance(g, A.Compare) and g.op != "=" for g in goals[2:]):
+            return None
+        left, right = goals[:2]
+        if left.pred != right.pred or left.pred in BUILTINS or self.c.predicates[left.pred].func or not all(isinstance(t, (A.Var, A.Wild)) for g in (left, right) for t in g.args):
+            return None
+        names = [[t.name for t in g.args if isinstance(t, A.Var)] for g in (left, right)]
+        keys = [v for v in names[0] if v in names[1]]
+        own = [[v for v in n if v not in keys] for n in names]
+        shown = {t.name for t in a.args if isinstance(t, A.Var)}
+        if any(len(set(n)) < len(n) for n in names) or not keys or not all(own) or shown != {*own[0], *own[1]} or any(A.goal_vars(g) & set(keys) for g in goals[2:]):
+            return None
+        if any(self.types[v].kind in ("option", "list") for v in keys):
+            return None
+        k = [f"v_{v}" for v in keys]
+        sides = []
+        for g, mine in zip((left, right), own):
+            df = self.atom(Frame(None), g, None).df
+            sides.append(([f"v_{v}" for v in mine], df.dropna(subset=k).distinct()))
+        counts = [d.groupBy(*k).agg(F.count("*").cast("double").alias(f"n{i}")) for i, (_, d) in enumerate(sides)]
+        size = counts[0].join(counts[1], k).agg(F.sum(F.col("n0") * F.col("n1")), F.max(F.col("n0") * F.col("n1"))).first()
+        if (size[0] or 0) < PAIRS:
+            return None
+        cut, tasks = min(SIDES, int((4 * size[1] / PAIRS) ** 0.5) + 1), min(TASKS, int(size[0] / PAIRS) + 1)
+
+        def dealt(df: DataFrame, mine: list[str], at: int) -> DataFrame:
+            """Rows in every block that they are needed in; ``at``: 0 for the left side, 1 for the right."""
+            whole = F.explode(F.sequence(F.lit(0), F.lit(cut - 1)))
+            part = F.pmod(F.xxhash64(*mine), F.lit(cut)).cast("int")
+            df = df.select(*mine, *k, part.alias(f"__{at}"), whole.alias(f"__{1 - at}"))
+            return df.repartition(tasks, *k, "__0", "__1")
+
+        parts = []
+        for mine, d in sides:
+            n = d.groupBy(*mine).agg(*[F.min(x).alias(x) for x in k], F.count("*").alias("__n"))
+            tag = self.c.fresh()
+            several = n.where("__n > 1").select(*[F.col(x).alias(f"{tag}_{x}") for x in mine])
+            many = d.join(several, _all([F.col(x).eqNullSafe(F.col(f"{tag}_{x}")) for x in mine]), "left_semi")
+            parts.append({"one": n.where("__n = 1").select(*mine, *k), "many": many})
+        out = [*sides[0][0], *sides[1][0]]
+
+        def met(x: str, y: str) -> DataFrame:
+            return dealt(parts[0][x], sides[0][0], 0).join(dealt(parts[1][y], sides[1][0], 1).hint("merge"), [*k, "__0", "__1"]).select(*out)
+
+        got = [met("one", "one")]
+        if any(not p["many"].isEmpty() for p in parts):
+            got += [met("one", "many"), met("many", "one"), met("many", "many").distinct()]
+        f = Frame(_union(got), (*own[0], *own[1]))
+        for g in goals[2:]:
+            f = self.compare(f, g)
+        return f
+
     # heads
-    def head(self, frames: list[Frame], a: A.Atom) -> DataFrame:
+    def head(self, frames: list[Frame], a: A.Atom, distinct: bool = False) -> DataFrame:
+        """Rows of the head; ``distinct``: the frames have none twice."""
         p = self.c.predicates[a.pred]
         out = []
         for f in frames:
             df = f.df if f.df is not None else self.c.unit()
             cols = [self.value(t, ty).cast(spark_type(ty, self.c.enums)).alias(f"c{i}") for i, (t, ty) in enumerate(zip(a.args, p.types))]
             out.append(df.select(*cols) if cols else df.select(F.lit(True).alias("__unit")))
-        return _union(out).distinct()
+        return _union(out) if distinct else _union(out).distinct()
 
 
 def _all(conds: list) -> Column:
