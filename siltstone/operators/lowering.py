@@ -204,7 +204,8 @@ class Lowering:
             return not A.has_wild(t) and A.term_vars(t) <= set(f.vars)
 
         into = [i for i, t in enumerate(a.args) if (mode[i] if mode else is_ground(t))]
-        rel = self.c.relation(a.pred).distinct()
+        every = self.c.relation(a.pred)
+        rel = every.distinct()
         if not into:
             n = rel.count()
             if n != 1:
@@ -212,8 +213,12 @@ class Lowering:
             return
         asked = f.df if f.df is not None else self.c.unit()
         asked = asked.select(*[self.value(a.args[i], p.types[i]).alias(f"a{i}") for i in into]).distinct()
-        found = rel.groupBy(*[F.col(f"c{i}") for i in into]).agg(F.count("*").alias("n"))
         on = _all([same(F.col(f"a{i}"), F.col(f"c{i}"), p.types[i]) for i in into])
+        # mostly every input has one row, repeats included; only where that is not so are whole rows told apart
+        once = every.groupBy(*[F.col(f"c{i}") for i in into]).agg(F.count("*").alias("n")).where("n = 1")
+        if asked.join(once, on, "left_anti").isEmpty():
+            return
+        found = rel.groupBy(*[F.col(f"c{i}") for i in into]).agg(F.count("*").alias("n"))
         bad = asked.join(found, on, "left").where(F.coalesce("n", F.lit(0)) != 1).select(F.coalesce("n", F.lit(0)).alias("n"), *[f"a{i}" for i in into]).limit(1).collect()
         if bad:
             shown = ", ".join(f"{p.names[i]}={bad[0][f'a{i}']!r}" for i in into)

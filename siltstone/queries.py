@@ -66,7 +66,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         host = self.host(spark, sf_dir) if self.host else ParquetHost(spark, sf_dir)
-        result = Engine(spark, self.compiled(), host).run()
+        result = Engine(spark, self.compiled(), host, out=self.out).run()
         if result.known_status != self.status:
             raise RuntimeError(f"{self.out}: {result.notes}")
         return result.frame(self.out)  # arithmetic is guarded in the plan: one evaluation

@@ -45,8 +45,6 @@ DISPATCH = (("DIRECT", "direct"), ("THROUGH_TRAIT", "through_trait"), ("DYN", "d
 CONTROL = ("IF", "MATCH", "WHILE", "FOR", "LOOP")
 NODE_KINDS = ("IF", "MATCH", "WHILE", "FOR", "LOOP", "BLOCK", "TRY", "ARM", "OTHER")
 EXACT, CASELESS, WITHIN, OTHER = 100, 95, 85, 70
-#: Lines of a bucket in which spans and nodes meet.
-LINES = 64
 
 
 def _columns(table: str) -> list[str]:
@@ -86,16 +84,23 @@ class CodeFactsHost(Host):
         if name in self.tables:
             df = self.tables[name]
             return df.select(*_columns(name))
-        return self.spark.createDataFrame([], TABLES[name])
+        # rows that the optimiser knows to be none, so that unions and joins with them go
+        return self.spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {k}) AS {c}' for c, k in (x.split(' ', 1) for x in TABLES[name].split(', ')))} WHERE false")
 
     # all definitions, function definitions, spans that are mentioned anywhere
     @cached_property
     def known_defs(self) -> DataFrame:
+        return self.mentioned(self.places() or [("defs", "def")])
+
+    def places(self) -> list[tuple[str, str]]:
+        """Tables that there are, and their columns that mention definitions."""
         places = [("defs", "def"), ("call_edges", "caller"), ("call_edges", "callee"), ("fields", "owner"), ("variants", "owner"), ("variants", "variant_def"), ("methods", "owner"), ("methods", "method"), ("trait_methods", "owner"), ("trait_methods", "method")]
         places += [("implements", c) for c in ("type", "trait", "impl")] + [("from_impl", c) for c in ("src", "dst", "impl")] + [("converts", c) for c in ("src", "dst", "fn")]
         places += [(t, c) for t in ("constructs", "propagates", "handles") for c in ("err", "fn")] + [(t, c) for t in ("compares", "writes") for c in ("subject", "fn")] + [("public_defs", "def"), ("test_defs", "def")]
-        parts = [self.t(t).select(F.col(c).alias("def")) for t, c in places if t in self.tables]
-        parts.append(self.t("type_shapes").where("tag in ('App', 'Param')").select(F.col("head").alias("def")))
+        return [(t, c) for t, c in [*places, ("type_shapes", "head")] if t in self.tables]
+
+    def mentioned(self, places: list[tuple[str, str]]) -> DataFrame:
+        parts = [(self.t(t).where("tag in ('App', 'Param')") if t == "type_shapes" else self.t(t)).select(F.col(c).alias("def")) for t, c in places]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
@@ -103,7 +108,11 @@ class CodeFactsHost(Host):
 
     def full_defs(self) -> DataFrame:
         """Every known definition with the values that stand in for missing ones."""
-        d = self.known_defs.join(self.t("defs"), "def", "left")
+        d = self.t("defs").where("def is not null")
+        others = [x for x in self.places() if x[0] != "defs"]
+        if others:  # those that defs lacks
+            lacking = self.mentioned(others).join(d.select("def"), "def", "left_anti")
+            d = d.unionByName(lacking, allowMissingColumns=True)
         name = F.coalesce("name", F.concat(F.lit("def_"), _hex(F.col("def"))))
         return d.select(
             "def", name.alias("name"), F.coalesce("kind", F.lit("OTHER")).alias("kind"), F.coalesce("span", F.xxhash64(F.lit("def_span"), "def")).alias("span"),
@@ -126,7 +135,8 @@ class CodeFactsHost(Host):
 
     def span_keys(self) -> DataFrame:
         """Every known span with its place; one without a place stands alone in a file of its own."""
-        s = self.known_spans().join(self.t("spans"), "span", "left")
+        own = self.t("spans").where("span is not null")
+        s = own.unionByName(self.known_spans().join(own.select("span"), "span", "left_anti"), allowMissingColumns=True)
         zero = F.lit(0).cast("long")
         return s.select("span", F.coalesce("rel_path", F.concat(F.lit("fallback/span_"), _hex(F.col("span")))).alias("rel_path"), *[F.coalesce(c, zero).alias(c) for c in ("l0", "c0", "l1", "c1")])
 
@@ -150,18 +160,38 @@ class CodeFactsHost(Host):
     # spans and nodes
     @cached_property
     def at_nodes(self) -> DataFrame:
-        """(span, node): the smallest node around each span, or null.  Both sides meet in buckets of lines of a file."""
+        """(span, node): the smallest node around each span, or null.
+
+        Equal places count once.  A node stands under a level, the power of two that its lines need, and in the one or two blocks of so many lines that it
+        touches; nodes of one line likewise by columns.  A place looks at its blocks at its own level and above, so it meets only nodes near to it.
+        """
         spans = self.span_keys()
-        nodes = self.t("nodes").select("node", "span").join(self.node_keys(), "node").join(spans, "span")
-        n = nodes.select("node", "key", F.col("rel_path").alias("nf"), *[F.col(c).alias(f"n_{c}") for c in ("l0", "c0", "l1", "c1")], F.explode(F.sequence(F.expr("l0 div 64"), F.expr("l1 div 64"))).alias("nb"))
-        q = spans.withColumn("qb", F.expr(f"l0 div {LINES}"))
+        place = ["rel_path", "l0", "c0", "l1", "c1"]
+        keyed = self.t("nodes").select("node", "span", F.coalesce("key", F.concat(F.lit("fallback:node:0x"), _hex(F.col("node")))).alias("key"))
+        n = keyed.join(spans, "span").groupBy(*place).agg(F.min(F.struct("key", "node")).alias("least"))
+        n = n.select(F.col("rel_path").alias("nf"), *[F.col(c).alias(f"n_{c}") for c in place[1:]], F.col("least.key").alias("key"), F.col("least.node").alias("node"))
+        at = spans.select(*place).distinct()
         start = F.struct(F.col("n_l0").alias("l"), F.col("n_c0").alias("c")) <= F.struct(F.col("l0").alias("l"), F.col("c0").alias("c"))
         end = F.struct(F.col("l1").alias("l"), F.col("c1").alias("c")) <= F.struct(F.col("n_l1").alias("l"), F.col("n_c1").alias("c"))
-        hit = q.join(n, (F.col("rel_path") == F.col("nf")) & (F.col("qb") == F.col("nb")) & start & end)
+        level = lambda wide: F.when(F.expr(wide) > 0, F.length(F.bin(F.expr(wide)))).otherwise(0)
+        # levels of lines and, for nodes of one line, of columns, or -1
+        n = stored(n.withColumn("nv", level("n_l1 - n_l0")).withColumn("nw", F.when(F.expr("n_l0 = n_l1"), level("n_c1 - n_c0")).otherwise(-1)))
+        kinds = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(w).alias("w")) for v, w in sorted(tuple(r) for r in n.select("nv", "nw").distinct().collect())] or [F.struct(F.lit(0).alias("v"), F.lit(-1).alias("w"))])
+        blocks = lambda a, b, by: F.sequence(F.expr(f"shiftright({a}, {by})"), F.expr(f"shiftright({b}, {by})"))
+        # a place that ends before it starts is looked for in its whole file, and so by a level of its own
+        whole = "struct(l1, c1) < struct(l0, c0)"
+        met = n.select("*", F.explode(F.when(F.expr("n_l0 <= n_l1"), blocks("n_l0", "n_l1", "nv")).otherwise(F.array(F.lit(0).cast("long")))).alias("nb"))
+        met = met.select("*", F.explode(F.when(F.expr("nw >= 0 and n_c0 <= n_c1"), blocks("n_c0", "n_c1", "nw")).otherwise(F.array(F.lit(0).cast("long")))).alias("nc"))
+        q = at.where(~F.expr(whole)).withColumn("own", level("l1 - l0")).withColumn("wide", F.when(F.expr("l0 = l1"), level("c1 - c0")).otherwise(-1))
+        q = q.select("*", F.explode(F.filter(kinds, lambda x: (x["v"] >= F.col("own")) & ((x["w"] < 0) | (F.col("wide") >= 0) & (x["w"] >= F.col("wide"))))).alias("k"))
+        q = q.select(*place, F.col("k.v").alias("qv"), F.col("k.w").alias("qw"), F.expr("shiftright(l0, k.v)").alias("qb"), F.expr("if(k.w < 0, 0L, shiftright(c0, k.w))").alias("qc"))
+        near = [F.col("rel_path") == F.col("nf"), F.col("qv") == F.col("nv"), F.col("qw") == F.col("nw"), F.col("qb") == F.col("nb"), F.col("qc") == F.col("nc")]
+        cols = [*place, *n.columns]
+        hit = q.join(met, [*near, start, end]).select(*cols).union(at.where(F.expr(whole)).join(n, [near[0], start, end]).select(*cols))
         wide = F.greatest(F.col("n_l1") - F.col("n_l0"), F.lit(0))
-        size = F.struct(wide.alias("a"), F.when(wide == 0, F.greatest(F.col("n_c1") - F.col("n_c0"), F.lit(0))).otherwise(2**32 - 1).alias("b"), F.col("n_l0").alias("c"), F.col("n_c0").alias("d"), F.col("key").alias("e"))
-        best = hit.groupBy("span").agg(F.min_by("node", size).alias("node"))
-        return stored(spans.select("span").join(best, "span", "left"))
+        size = F.struct(wide.alias("a"), F.when(wide == 0, F.greatest(F.col("n_c1") - F.col("n_c0"), F.lit(0))).otherwise(2**32 - 1).alias("b"), F.col("n_l0").alias("c"), F.col("n_c0").alias("d"), F.col("key").alias("e"), F.col("node").alias("f"))
+        best = hit.groupBy(*place).agg(F.min(size).alias("least")).select(*place, F.col("least.f").alias("node"))
+        return stored(spans.join(best, place, "left").select("span", "node"))
 
     def enclosing_control(self) -> DataFrame:
         """(span, kind, control span, distance): climbs from the node of a span to the first control node, at most ``depth`` parents up."""

@@ -117,3 +117,19 @@ def test_folder_and_refresh(spark, tmp_path):
     spark.createDataFrame([(2,)], TABLES["test_defs"]).write.parquet(str(tmp_path / "test_defs.parquet"))
     h.refresh()
     assert rows(h.extern("in_test")) == [(2,)] and rows(h.extern("def")) == [(1,), (2,)] and h.depth == 3
+
+
+def test_nodes_meet_only_places_near_them(spark):
+    """Against plain comparison of all with all: places that repeat, stand on one line, or end (far) before they start."""
+    spans = [(i, f"f{i % 2}", i % 37, i % 11, i % 37 + (i % 5) * (i % 3), i % 11 + i % 13) for i in range(1, 260)] + [(900, "f0", 9, 5, 9, 2), (901, "f0", 8, 0, 7, 9), (902, "f1", 0, 0, 90, 0), (903, "f0", 100, 0, 10, 0)]
+    nodes = [(1000 + s[0], "BLOCK", s[0], None, f"k{s[0] % 50:02}") for s in spans if s[0] % 2 == 0]
+    got = dict(rows(host(spark, spans=spans, nodes=nodes).extern("node_at")))
+    place = {s[0]: s[1:] for s in spans}
+
+    def best(s):
+        _, l0, c0, l1, c1 = s
+        around = [(n, k, place[at]) for n, _, at, _, k in nodes if place[at][0] == s[0] and place[at][1:3] <= (l0, c0) and (l1, c1) <= place[at][3:]]
+        size = lambda x: (max(x[2][3] - x[2][1], 0), max(x[2][4] - x[2][2], 0) if x[2][3] <= x[2][1] else 2**32 - 1, *x[2][1:3], x[1], x[0])
+        return min(around, key=size)[0] if around else None
+
+    assert got == {i: best(s) for i, s in place.items()}
